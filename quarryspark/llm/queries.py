@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id
+from . import byte_bpe, exact_dedup, language_id, near_dup
 from .shared import table
 
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": _on(exact_dedup.op1_exact_dedup, "documents"),
     "op2_byte_bpe": _on(byte_bpe.op2_byte_bpe, "documents"),
     "op7_language_id": _on(language_id.op7_language_id, "documents"),
+    "op8_minhash": _on(near_dup.op8_minhash, "documents"),
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE}

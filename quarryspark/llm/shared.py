@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,3 +70,39 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def by_group(df: DataFrame, keys: list[str], schema: str, each_group: Callable[[tuple, list[dict]], Iterator[dict]]) -> DataFrame:
+    """each_group(key, rows) for the rows of each key. The rows come sorted within their partition and are read in
+    bounded batches; a task holds one group at a time, so the caller must bound the groups (chunks of hot keys)."""
+    bounded_batches(df.sparkSession)
+    arrow = arrow_schema(df.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            for batch in batches:
+                yield from batch.to_pylist()
+
+        out: list[dict] = []
+        for key, group in groupby(rows(), key=lambda r: tuple(r[k] for k in keys)):
+            out += each_group(key, list(group))
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, arrow)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def paired_chunks(df: DataFrame, salt: Column, chunks: Column, i: str = "i", j: str = "j", own: str = "own") -> DataFrame:
+    """Deals the rows of a large group into pairs of chunks, so that any two rows of it meet in one bounded task: a row
+    of chunk c goes to (c, d) for every chunk d. `own` is the row's chunk; one chunk gives just (0, 0)."""
+    c = F.pmod(salt, chunks)
+    d = F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int")))
+    return df.withColumn(own, c.cast("int")).withColumn("_d", d).withColumn(i, F.least(own, "_d")).withColumn(j, F.greatest(own, "_d")).drop("_d")
+
+
+def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
+    """df, marked for broadcast if its counted rows stay within the limit; else joins shuffle it. df is a written table."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
