@@ -8,9 +8,11 @@ import hashlib
 import heapq
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import by_batch, whole_text
 
@@ -120,11 +122,9 @@ def encoded(documents: DataFrame, ranks_path: str, pattern: str, text_col: str =
     """(keep..., ids) for every row and whole text: ids as little-endian unsigned 32-bit integers, without special
     tokens. A null text counts as empty and gives no ids. The rank table, of fixed size, is sent to the workers once;
     texts do not move. A task keeps the words it has met, up to known_words, so each is merged about once."""
-    import numpy as np
-
     spark = documents.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    kinds = dict(documents.dtypes)
+    narrow = documents.select(F.struct(*keep).alias("kept"), whole_text(text_col).alias("text"))
 
     def make():
         find, words = regex.compile(pattern).findall, Words(Replay(ranks.value))
@@ -140,20 +140,17 @@ def encoded(documents: DataFrame, ranks_path: str, pattern: str, text_col: str =
                 found = [find(t) for t in texts[k : k + size]]
                 words.add(set().union(*found))
                 ids += [b"".join(map(words.__getitem__, f)) for f in found]
-            return {c: batch[c] for c in keep} | {"ids": ids}
+            return {"kept": batch["kept"], "ids": ids}
 
         return each
 
-    assert np.little_endian
-    return by_batch(documents.select(*keep, whole_text(text_col).alias("text")), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", ids binary", make)
+    return by_batch(narrow, f"kept {dict(narrow.dtypes)['kept']}, ids binary", make).select("kept.*", "ids")
 
 
 def decoded(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., n_tokens, ids_sha256, decoded): the bytes that the ids stand for. Null ids count as none."""
-    import numpy as np
-
+    narrow = tokens.select(F.struct(*keep).alias("kept"), F.col(ids_col).alias("ids"))
     ranks = tokens.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    kinds = dict(tokens.dtypes)
 
     def make():
         table = {v: k for k, v in ranks.value.items()}
@@ -161,7 +158,8 @@ def decoded(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", keep: tupl
 
         def each(batch: pa.RecordBatch) -> dict:
             ids = [x or b"" for x in batch["ids"].to_pylist()]
-            return {c: batch[c] for c in keep} | {
+            return {
+                "kept": batch["kept"],
                 "n_tokens": [len(x) // 4 for x in ids],
                 "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
                 "decoded": [b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in ids],
@@ -169,12 +167,11 @@ def decoded(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", keep: tupl
 
         return each
 
-    return by_batch(tokens.withColumnRenamed(ids_col, "ids"), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens long, ids_sha256 string, decoded binary", make)
+    return by_batch(narrow, f"kept {dict(narrow.dtypes)['kept']}, n_tokens long, ids_sha256 string, decoded binary", make).select("kept.*", "n_tokens", "ids_sha256", "decoded")
 
 
 def op2_byte_bpe(documents: DataFrame) -> DataFrame:
     import public_tokenizers as public
-    from pyspark.sql import functions as F
 
     path = public.path("byte_bpe_multi_50k.tiktoken")
     tokens = encoded(documents.select("doc_id", "text"), path, public.PATTERN)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import by_batch, whole_text
+from .shared import by_batch
 
 WORDS = re.compile(r"[^\W\d_]+")
 NONE = "und"
@@ -98,13 +98,13 @@ class _Scores(dict):
 
 
 def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), known_words: int = 400_000) -> DataFrame:
-    """(id, keep..., lang_pred, score) for every row and whole text. Null texts and texts without letters get `und`
-    and score 0; so does everything if the model has learned no language. Ties go to the first language by name. The
+    """(id, kept, lang_pred, score) for every row and whole text. Null texts and texts without letters get `und`
+    and score 0; `kept` is a struct of the columns named by keep, left out where there are none; so does everything if the model has learned no language. Ties go to the first language by name. The
     score is the winner's share after each language's mean log frequency is spread over ten words."""
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    columns = [id_col, *keep]
-    kinds = dict(documents.dtypes)
+    kinds = dict(documents.select(F.col(id_col).alias("id"), F.struct(*dict.fromkeys((text_col, *keep))).alias("kept")).dtypes)
+    columns = ["id", "kept"] if keep else ["id"]
 
     def make():
         scores = _Scores(sent.value)
@@ -116,8 +116,8 @@ def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col
             if len(scores) > known_words:  # only a memory bound: the rows are made again as words come
                 scores, matrix = _Scores(sent.value), matrix[:0]
             flat, sizes = [], []
-            for text in batch["text"].to_pylist():
-                found = WORDS.findall(text.lower())
+            for text in batch["kept"].field(0).to_pylist():
+                found = WORDS.findall((text or "").lower())
                 if not any(c.isalpha() for w in found for c in w):
                     found = []
                 flat += found
@@ -136,8 +136,8 @@ def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col
 
         return each
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", lang_pred string, score double"
-    return by_batch(documents.select(*columns, whole_text(text_col).alias("text")), schema, make)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", lang_pred string, score double"
+    return by_batch(documents.select(F.col(id_col).alias("id"), F.struct(*dict.fromkeys((text_col, *keep))).alias("kept")), schema, make).withColumnRenamed("id", id_col)
 
 
 def learned_from(documents: DataFrame) -> Model:

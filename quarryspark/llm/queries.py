@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, exact_dedup, language_id, near_dup
+from . import byte_bpe, embedding_dedup, exact_dedup, language_id, mixing, near_dup
 from .shared import table
 
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": _on(language_id.op7_language_id, "documents"),
     "op8_minhash": _on(near_dup.op8_minhash, "documents"),
     "op9_embedding_dedup": _on(embedding_dedup.op9_embedding_dedup, "embeddings"),
+    "op10_mixing": _on(mixing.op10_mixing, "documents"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
