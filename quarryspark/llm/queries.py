@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, exact_dedup, language_id, mixing, near_dup
+from . import byte_bpe, embedding_dedup, exact_dedup, language_id, mixing, near_dup, token_output
 from .shared import table
 
 
@@ -17,6 +17,7 @@ def _on(f: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession, str
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": _on(exact_dedup.op1_exact_dedup, "documents"),
     "op2_byte_bpe": _on(byte_bpe.op2_byte_bpe, "documents"),
+    "op4_token_output": _on(token_output.op4_token_output, "documents"),
     "op7_language_id": _on(language_id.op7_language_id, "documents"),
     "op8_minhash": _on(near_dup.op8_minhash, "documents"),
     "op9_embedding_dedup": _on(embedding_dedup.op9_embedding_dedup, "embeddings"),
