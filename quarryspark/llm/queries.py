@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, exact_dedup, language_id, mixing, near_dup, token_output
+from . import byte_bpe, embedding_dedup, exact_dedup, language_id, licenses, mixing, near_dup, token_output, toxicity
 from .shared import table
 
 
@@ -18,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": _on(exact_dedup.op1_exact_dedup, "documents"),
     "op2_byte_bpe": _on(byte_bpe.op2_byte_bpe, "documents"),
     "op4_token_output": _on(token_output.op4_token_output, "documents"),
+    "op5_license_scan": _on(licenses.op5_license_scan, "documents"),
+    "op6_toxicity": _on(toxicity.op6_toxicity, "documents", "labels"),
     "op7_language_id": _on(language_id.op7_language_id, "documents"),
     "op8_minhash": _on(near_dup.op8_minhash, "documents"),
     "op9_embedding_dedup": _on(embedding_dedup.op9_embedding_dedup, "embeddings"),
