@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, exact_dedup, language_id, licenses, mixing, near_dup, token_output, toxicity
+from . import byte_bpe, embedding_dedup, exact_dedup, language_id, licenses, mixing, near_dup, secrets, token_output, toxicity
 from .shared import table
 
 
@@ -17,6 +17,7 @@ def _on(f: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession, str
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": _on(exact_dedup.op1_exact_dedup, "documents"),
     "op2_byte_bpe": _on(byte_bpe.op2_byte_bpe, "documents"),
+    "op3_secret_scan": _on(secrets.op3_secret_scan, "documents"),
     "op4_token_output": _on(token_output.op4_token_output, "documents"),
     "op5_license_scan": _on(licenses.op5_license_scan, "documents"),
     "op6_toxicity": _on(toxicity.op6_toxicity, "documents", "labels"),
