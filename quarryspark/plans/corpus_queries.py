@@ -192,7 +192,7 @@ ORACLE_SQL = {
     "website_counts": _U + "SELECT website, count(*) AS n_pages, count(DISTINCT normalised) AS n_documents FROM u GROUP BY 1",
     "html_clean_retention": f"WITH t AS (SELECT page_id, html, {_CLEAN} AS text FROM pages), r AS (SELECT *, CASE WHEN length(html) = 0 THEN 0 ELSE round_even(length(text)::DOUBLE / length(html), 4) END AS retention FROM t) SELECT page_id, length(html) AS n_html, length(text) AS n_text, sha256(text) AS text_sha256, retention, CASE WHEN retention >= 0.9 THEN 'high' WHEN retention >= 0.5 THEN 'medium' WHEN retention >= 0.1 THEN 'low' ELSE 'minimal' END AS bucket FROM r",
     "extract_links": r"""WITH l AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '<a href="([^"]*)">', 1) AS u, regexp_extract_all(coalesce(html, ''), '<a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages),
-      e AS (SELECT page_id, unnest(u) AS url, unnest(t) AS label, generate_subscripts(u, 1) AS at FROM l WHERE len(u) = len(t)), f AS (SELECT page_id, url, arg_min(label, at) AS label FROM e GROUP BY ALL)
+      e AS (SELECT page_id, unnest(u) AS url, unnest(t) AS label, generate_subscripts(u, 1) AS pos FROM l WHERE len(u) = len(t)), f AS (SELECT page_id, url, arg_min(label, pos) AS label FROM e GROUP BY ALL)
       SELECT * FROM f WHERE lower(trim(label)) NOT IN (""" + ", ".join(f"'{x}'" for x in corpus.NAVIGATION) + ")",
     "repeated_lines": "SELECT document_id, line, count(*) AS n FROM (SELECT doc_id AS document_id, trim(unnest(string_split(coalesce(text, ''), chr(10)))) AS line FROM documents) WHERE line <> '' GROUP BY ALL HAVING count(*) >= 2",
     "token_counts": "SELECT doc_id, " + _EST.format("text") + " AS token_estimate, " + _W.format("coalesce(text, '')") + " AS words, greatest(1, " + _W.format("coalesce(text, '')") + r") AS words_at_least_one, length(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}_]', '', 'g')) AS meaningful FROM documents",
