@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .retrieval import capped, merged, ranked
 
-_QUERY = Window.partitionBy("query_id")
+def _query() -> WindowSpec:
+    return Window.partitionBy("query_id")
 
 
 def reciprocal_rank(vector: DataFrame, keyword: DataFrame, k: int = 10, c: int = 60) -> DataFrame:
@@ -25,13 +26,13 @@ def _weighed(vector: DataFrame, keyword: DataFrame, own: Column, weights: tuple[
 
 def weighted(vector: DataFrame, keyword: DataFrame, k: int = 10, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
     """Scores brought to 0..1 in each list, 1 where all are equal, then weighed."""
-    low, high = F.min("score").over(_QUERY), F.max("score").over(_QUERY)
+    low, high = F.min("score").over(_query()), F.max("score").over(_query())
     return _weighed(vector, keyword, F.when(high <= low, 1.0).otherwise((F.col("score") - low) / (high - low)), weights, k)
 
 
 def rank_normalised(vector: DataFrame, keyword: DataFrame, k: int = 10, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
     """Places brought to 1 for the first down to 1/n for the last, then weighed."""
-    n = F.count("*").over(_QUERY)
+    n = F.count("*").over(_query())
     return _weighed(vector, keyword, (n - F.col("rank") + 1) / n, weights, k)
 
 
