@@ -126,14 +126,18 @@ def _area(score: np.ndarray, y: np.ndarray) -> float:
     return (rank[y == 1].sum() - p * (p + 1) / 2) / max(1, p * (len(y) - p))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2400, longest: int = 50_000) -> Model:
-    """A model from at most per_class rows of each label (the documented bound of the sample: those with the smallest
-    hash of the id, of at most `longest` characters). Two thirds of them train the dictionaries; the rest choose `least`
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2400, longest: int = 50_000) -> Model:
+    """A model from the documents of at most per_class ids of each label (the documented bound of the sample: those with
+    the smallest hash of the id; texts of over `longest` characters are passed over). The ids are chosen from the labels
+    alone and, being so few, sent to the documents, so no text is shuffled. Two thirds of them train the dictionaries; the rest choose `least`
     and fit the weights, at the labels' true shares. Without rows of both labels, every score is the toxic share."""
-    rows = labelled.where(F.col(text_col).isNotNull() & (F.length(text_col) <= longest) & F.col(label_col).isin(0, 1))
-    total = {r["y"]: r["n"] for r in labelled.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).alias("y")).agg(F.count("*").alias("n")).collect()}
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
+    total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = (total.get(1, 0) + 0.5) / (sum(total.values()) + 1)
-    sample = {y: [r[0] for r in rows.where(F.col(label_col) == y).orderBy(F.xxhash64(id_col), id_col, text_col).select(text_col).limit(per_class).collect()] for y in (0, 1)}
+    chosen = known.where("y = 0").orderBy(F.xxhash64(id_col), id_col).limit(per_class).union(known.where("y = 1").orderBy(F.xxhash64(id_col), id_col).limit(per_class))
+    texts = documents.where(F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(id_col, text_col)
+    rows = sorted(texts.join(F.broadcast(chosen), id_col).select("y", F.xxhash64(id_col), text_col).limit(4 * per_class).collect())
+    sample = {label: [t for y, _, t in rows if y == label] for label in (0, 1)}
     learn = {y: [_words(t) for k, t in enumerate(s) if k % 3 != 2] for y, s in sample.items()}
     check = [(y, _words(t)) for y, s in sample.items() for k, t in enumerate(s) if k % 3 == 2]
     seen = {y: Counter(w for words in s for w in set(words)) for y, s in learn.items()}
@@ -179,6 +183,5 @@ def scored(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 def op6_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
-    known = labels.where(F.col("toxic").isNotNull() & ~out).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    model = fit(documents.select("doc_id", "text").join(known, "doc_id"))
+    model = fit(documents, labels.where(~out))
     return scored(documents, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
