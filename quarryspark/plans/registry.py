@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, evaluation_queries, retrieval_queries, store_queries
+from . import corpus_queries, evaluation_queries, retrieval_queries, store_queries, structure_queries
 
-MODULES = (retrieval_queries, corpus_queries, evaluation_queries, store_queries)
+MODULES = (retrieval_queries, corpus_queries, evaluation_queries, store_queries, structure_queries)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
