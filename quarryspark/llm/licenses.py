@@ -156,3 +156,24 @@ def op5_license_scan(documents: DataFrame) -> DataFrame:
         joined("phrases.label").alias("base_labels"), joined("phrases.label", "blocks.label").alias("labels"),
         F.when(F.size("phrases") > 0, 1.0).otherwise(F.coalesce(F.array_max("blocks.containment"), F.lit(0.0))).alias("score"),
     )
+
+
+def _oracle(contain: float = 0.8) -> str:
+    """Every line against every template by their common words, without the filters."""
+    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    sets = [sorted({w.decode() for w in words_of(t.encode())}) for _, t in TEMPLATES]
+    rows = ", ".join(f"({k}, '{TEMPLATES[k][0]}', '{w}', {len(s)}, {max(1, math.ceil(contain * len(s) - 1e-9))})" for k, s in enumerate(sets) for w in s)
+    words = lambda x: f"regexp_extract_all(translate({x}, '{up}', '{low}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    places = ", ".join("list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {n}] = '{x.decode()}'" for n, x in enumerate(p.split())) + f") AS p{k}" for k, (p, _) in enumerate(PHRASES))
+    every = " || ".join(f"p{k}" for k in range(len(PHRASES)))
+    own = "list_filter([" + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(PHRASES)) + "], lambda x: x IS NOT NULL)"
+    return f"""
+WITH t(k, label, word, size, need) AS (VALUES {rows}),
+d AS (SELECT doc_id, coalesce(text, '') AS text, {words("coalesce(text, '')")} AS w FROM documents), p AS (SELECT doc_id, w, {places} FROM d), b AS (SELECT doc_id, len(w) AS n_words, {every} AS places, {own} AS own FROM p),
+l AS (SELECT doc_id, unnest(string_split_regex(text, '[\\n\\r]+')) AS line, generate_subscripts(string_split_regex(text, '[\\n\\r]+'), 1) AS n FROM d), x AS (SELECT doc_id, n, unnest(list_distinct({words("line")})) AS word FROM l),
+m AS (SELECT doc_id, n, k, any_value(label) AS label, count(*)::DOUBLE / any_value(size) AS c FROM x JOIN t USING (word) GROUP BY doc_id, n, k HAVING count(*) >= any_value(need)), g AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM m GROUP BY doc_id)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word, array_to_string(list_sort(own), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(own || coalesce(labels, []))), ',') AS labels, CASE WHEN len(places) > 0 THEN 1 ELSE coalesce(c, 0) END::DOUBLE AS score FROM b LEFT JOIN g USING (doc_id)"""
+
+
+ORACLE = _oracle()

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checked_broadcast, written
+from .shared import checked_broadcast, free_name, written
 
 LEVELS = ("domain", "lang", "source")
 WIDE = "decimal(38,0)"
@@ -126,10 +126,11 @@ def mixture(documents: DataFrame, p: Params, levels: dict[str, Column], id_col:
     levels: the column of each level. Rows that repeat an id come as often as the one that is taken most."""
     named = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[c.alias(name) for name, c in levels.items()])
     taken = mixed(named, p, "id", "text", tuple(levels)).where("copies > 0")
-    taken = written(taken.groupBy(F.col("id").alias("_taken_id")).agg(F.max("copies").alias("_copies")), "taken")
-    found = documents.join(checked_broadcast(taken, 40), F.col(id_col).eqNullSafe(F.col("_taken_id")))
+    own, copies, epoch = (free_name(documents, x) for x in ("taken_id", "copies", "epoch"))
+    taken = written(taken.groupBy(F.col("id").alias(own)).agg(F.max("copies").alias(copies)), "taken")
+    found = documents.join(checked_broadcast(taken, 40), F.col(id_col).eqNullSafe(F.col(own)))
     if p.epochs > 1:
-        found = found.withColumn("_epoch", F.explode(F.sequence(F.lit(1), "_copies")))
+        found = found.withColumn(epoch, F.explode(F.sequence(F.lit(1), copies)))
     return found.select(documents.columns)
 
 

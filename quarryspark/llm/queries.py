@@ -27,4 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": _on(mixing.op10_mixing, "documents"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_dedup": exact_dedup.ORACLE, "op5_license_scan": licenses.ORACLE, "op8_minhash": near_dup.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE, "op10_mixing": mixing.ORACLE,
+}
