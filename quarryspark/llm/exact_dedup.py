@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import whole_text, written
+from .shared import checked_broadcast, written
 
 #: Runs of these characters count as one space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,8 +21,8 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Level 1 groups by length, level 2 by a hash of the first characters within the lengths that occur more than once,
     and only rows whose (length, prefix) is shared are joined with their text again and hashed in full. Each level is
-    a grouped count, summed before its shuffle, then a join from a written table: a hot length or a hot copy is split
-    by adaptive execution. Groups are defined by the SHA-256 of the normalised text.
+    a grouped count, summed before its shuffle, then a join with the written table of what is shared: that table is sent
+    to the rows if it is counted to be small, else the join shuffles, and adaptive execution splits a hot length or copy. Groups are defined by the SHA-256 of the normalised text.
 
     A null text counts as empty; rows with a null id form no group; rows that repeat an id are copies of one another
     if their texts agree (group_size counts rows).
@@ -33,13 +33,13 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         "narrow",
     )
     lengths = written(narrow.groupBy("n").count().where("count > 1").select("n"), "lengths")
-    prefixes = written(narrow.join(lengths, "n", "left_semi").groupBy("n", "p").count().where("count > 1").select("n", "p"), "prefixes")
-    survivors = narrow.join(prefixes, ["n", "p"], "left_semi").select("id").distinct()
+    prefixes = written(narrow.join(checked_broadcast(lengths, 16), "n", "left_semi").groupBy("n", "p").count().where("count > 1").select("n", "p"), "prefixes")
+    survivors = written(narrow.join(checked_broadcast(prefixes, 32), ["n", "p"], "left_semi").select("id").distinct(), "survivors")
     full = written(
-        documents.select(F.col(id_col).alias("id"), text_col).join(survivors, "id", "left_semi").select("id", F.sha2(text, 256).alias("text_sha256")), "full"
+        documents.select(F.col(id_col).alias("id"), text_col).join(checked_broadcast(survivors, 24), "id", "left_semi").select("id", F.sha2(text, 256).alias("text_sha256")), "full"
     )
     groups = written(full.groupBy("text_sha256").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
-    return full.join(groups, "text_sha256").select(F.col("id").alias(id_col), "keep_id", "group_size", "text_sha256").distinct()
+    return full.join(checked_broadcast(groups, 160), "text_sha256").select(F.col("id").alias(id_col), "keep_id", "group_size", "text_sha256").distinct()
 
 
 def op1_exact_dedup(documents: DataFrame) -> DataFrame:
