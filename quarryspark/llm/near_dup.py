@@ -19,7 +19,7 @@ from .shared import by_batch, by_group, checked_broadcast, paired_chunks, whole_
 BITS = 2  # of each minimum that the packed signature retains
 SLOT = np.uint64(0x5555555555555555)
 #: Members of a chunk of a large group, and characters of its texts.
-CHUNK_ROWS, CHUNK_CHARS = 2048, 16 << 20
+CHUNK_ROWS, CHUNK_CHARS = 512, 16 << 20
 
 
 @dataclass(frozen=True)
