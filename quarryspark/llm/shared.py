@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. With texts of up to some hundred thousand characters this keeps a batch at tens of MB.
-ROWS_PER_BATCH = 1000
+ROWS_PER_BATCH = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
