@@ -4,13 +4,17 @@ The join is that of prefix filtering. Tokens are ordered by their frequency over
 block that holds `contain` of a template's tokens must hold one of the template's first t - need + 1 tokens (prefix),
 must have at least `need` tokens (length), and what is left behind the first common token must still suffice
 (position). What passes is compared in full, so every block that meets the threshold is found, and no other.
+
+Blocks are lines, and windows of consecutive words that run over line ends, so that a wrapped notice is found.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,6 +60,7 @@ class Templates:
         self.labels = [label for label, _ in templates]
         self.sets = [sorted(self.rank[w] for w in set(words_of(t.encode()))) for _, t in templates]
         self.need = [max(1, math.ceil(contain * len(s) - 1e-9)) for s in self.sets]
+        self.reach = [math.ceil(len(words_of(t.encode())) / contain - 1e-9) for _, t in templates]
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for k, (s, need) in enumerate(zip(self.sets, self.need, strict=True)):
             for place, token in enumerate(s[: len(s) - need + 1]):
@@ -81,6 +86,34 @@ class Templates:
                     out.append((k, both / len(s)))
         return out
 
+    def windows(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """(template, first word, end, containment) where `reach` consecutive words meet a template, cut to begin and
+        end in words of it. From the left, a window that overlaps gives way to one that holds more, of equals the shorter."""
+        out = []
+        for k, _ in self.within(words):  # a template that the whole text doesn't meet is met by no window
+            own, need, reach = set(self.sets[k]), self.need[k], self.reach[k]
+            places = [(at, token) for at, word in enumerate(words) if (token := self.rank.get(word)) in own]
+            held: Counter = Counter()
+            first, best = 0, None
+            for at, token in places:
+                held[token] += 1
+                while at - places[first][0] >= reach or held[places[first][1]] > 1:
+                    held[places[first][1]] -= 1
+                    if not held[places[first][1]]:
+                        del held[places[first][1]]
+                    first += 1
+                if len(held) < need:
+                    continue
+                start = places[first][0]
+                if best and start >= best[2]:
+                    out.append((k, best[2] - best[1], best[2], -best[0] / len(own)))
+                    best = None
+                found = (-len(held), at + 1 - start, at + 1)
+                best = min(best, found) if best else found
+            if best:
+                out.append((k, best[2] - best[1], best[2], -best[0] / len(own)))
+        return out
+
 
 def token_frequency(documents: DataFrame, vocabulary: frozenset[bytes], text_col: str = "text") -> dict[bytes, int]:
     """In how many lines of all documents each word of the templates stands. The result has the templates' size."""
@@ -106,7 +139,8 @@ def scan(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATE
 
     phrases: array of (label, word), the word numbers from 0 at which a fixed phrase begins, overlaps included. blocks:
     array of (label, template, line, containment), the lines, from 0, that hold at least `contain` of a template's
-    distinct words. Null texts count as empty. A line is what stands between line ends, however long.
+    distinct words, and the first lines of the windows that do and run over a line end. A window has 1 / `contain` times
+    the template's words. Null texts count as empty. A line is what stands between line ends, however long.
     """
     vocabulary = frozenset(w for _, t in templates for w in words_of(t.encode()))
     index = Templates(templates, token_frequency(documents, vocabulary, text_col), contain)
@@ -131,10 +165,13 @@ def scan(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATE
                             if words[at : at + len(p)] == p:
                                 found.append({"label": label, "word": at})
                 if not index.prefix_words.isdisjoint(words):
-                    for n, line in enumerate(_LINES.split(raw)):
-                        own = words_of(line)
-                        if not index.prefix_words.isdisjoint(own):
-                            blocks += [{"label": index.labels[k], "template": k, "line": n, "containment": c} for k, c in index.within(own)]
+                    lines = [words_of(line) for line in _LINES.split(raw)]
+                    met = [(k, n, c) for n, own in enumerate(lines) if not index.prefix_words.isdisjoint(own) for k, c in index.within(own)]
+                    ends = list(accumulate(map(len, lines)))
+                    for k, a, b, c in index.windows(words):
+                        if (n := bisect_right(ends, a)) != bisect_right(ends, b - 1):
+                            met.append((k, n, c))
+                    blocks = [{"label": index.labels[k], "template": k, "line": n, "containment": c} for k, n, c in met]
                 out["n_words"].append(len(words))
                 out["phrases"].append(found)
                 out["blocks"].append(blocks)
