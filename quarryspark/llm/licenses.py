@@ -5,7 +5,8 @@ block that holds `contain` of a template's tokens must hold one of the template'
 must have at least `need` tokens (length), and what is left behind the first common token must still suffice
 (position). What passes is compared in full, so every block that meets the threshold is found, and no other.
 
-Blocks are lines, and windows of consecutive words that run over line ends, so that a wrapped notice is found.
+Blocks are windows of consecutive words, whatever the line ends, so that a wrapped notice is found and words that are
+scattered over a long line are not. Words that tell licenses apart (names, versions) can't be among those that lack.
 """
 
 from __future__ import annotations
@@ -43,6 +44,11 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
+#: Words that a block must hold of a template that has them, as numbers always. A template with neither that has fewer
+#: than SHORT distinct words must be held in full: what may lack of it could be its name.
+NAMES = frozenset(b"mit apache gnu lesser mozilla creative commons nc".split())
+SHORT = 8
+
 #: Bytes that end a word become spaces, A-Z become small.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LINES = re.compile(rb"[\n\r]+")
@@ -55,7 +61,7 @@ def words_of(raw: bytes) -> list[bytes]:
 class Templates:
     """The templates' token sets in global order, with an index from prefix token to (template, place in its order)."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...], frequency: dict[bytes, int], contain: float):
+    def __init__(self, templates: tuple[tuple[str, str], ...], frequency: dict[bytes, int], contain: float, names: frozenset[bytes] | None = None):
         self.rank = {w: k for k, w in enumerate(sorted({w for _, t in templates for w in words_of(t.encode())}, key=lambda w: (frequency.get(w, 0), w)))}
         self.labels = [label for label, _ in templates]
         self.sets = [sorted(self.rank[w] for w in set(words_of(t.encode()))) for _, t in templates]
@@ -66,6 +72,10 @@ class Templates:
             for place, token in enumerate(s[: len(s) - need + 1]):
                 self.prefix.setdefault(token, []).append((k, place))
         by_rank = {v: k for k, v in self.rank.items()}
+        self.must = [frozenset() for _ in self.sets]
+        if names is not None:
+            telling = [frozenset(token for token in s if by_rank[token] in names or by_rank[token].isdigit()) for s in self.sets]
+            self.must = [m or frozenset(s if len(s) < SHORT else ()) for m, s in zip(telling, self.sets, strict=True)]
         self.prefix_words = {by_rank[token] for token in self.prefix}
 
     def within(self, block: list[bytes]) -> list[tuple[int, float]]:
@@ -82,7 +92,7 @@ class Templates:
                 if len(distinct) < need or 1 + min(len(s) - place, len(tokens) - at) - 1 < need:
                     continue
                 both = len(set(s).intersection(tokens))
-                if both >= need:
+                if both >= need and self.must[k].issubset(tokens):
                     out.append((k, both / len(s)))
         return out
 
@@ -102,7 +112,7 @@ class Templates:
                     if not held[places[first][1]]:
                         del held[places[first][1]]
                     first += 1
-                if len(held) < need:
+                if len(held) < need or not self.must[k] <= held.keys():
                     continue
                 start = places[first][0]
                 if best and start >= best[2]:
@@ -134,16 +144,16 @@ def token_frequency(documents: DataFrame, vocabulary: frozenset[bytes], text_col
     return {bytes(r["word"]): r["n"] for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
-def scan(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, contain: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, contain: float = 0.8, id_col: str = "doc_id", text_col: str = "text", names: frozenset[bytes] = NAMES) -> DataFrame:
     """(id, n_words, phrases, blocks) of every row and whole text.
 
     phrases: array of (label, word), the word numbers from 0 at which a fixed phrase begins, overlaps included. blocks:
-    array of (label, template, line, containment), the lines, from 0, that hold at least `contain` of a template's
-    distinct words, and the first lines of the windows that do and run over a line end. A window has 1 / `contain` times
-    the template's words. Null texts count as empty. A line is what stands between line ends, however long.
+    array of (label, template, line, containment), the windows that hold at least `contain` of a template's distinct
+    words, and all of those that are names or numbers, by the lines, from 0, where they begin. A window has 1 / `contain`
+    times the template's words. Null texts count as empty.
     """
     vocabulary = frozenset(w for _, t in templates for w in words_of(t.encode()))
-    index = Templates(templates, token_frequency(documents, vocabulary, text_col), contain)
+    index = Templates(templates, token_frequency(documents, vocabulary, text_col), contain, names)
 
     def make():
         phrases = [(p.split(), label) for p, label in PHRASES]
@@ -164,14 +174,9 @@ def scan(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATE
                                 break
                             if words[at : at + len(p)] == p:
                                 found.append({"label": label, "word": at})
-                if not index.prefix_words.isdisjoint(words):
-                    lines = [words_of(line) for line in _LINES.split(raw)]
-                    met = [(k, n, c) for n, own in enumerate(lines) if not index.prefix_words.isdisjoint(own) for k, c in index.within(own)]
-                    ends = list(accumulate(map(len, lines)))
-                    for k, a, b, c in index.windows(words):
-                        if (n := bisect_right(ends, a)) != bisect_right(ends, b - 1):
-                            met.append((k, n, c))
-                    blocks = [{"label": index.labels[k], "template": k, "line": n, "containment": c} for k, n, c in met]
+                if not index.prefix_words.isdisjoint(words) and (met := index.windows(words)):
+                    ends = list(accumulate(len(words_of(line)) for line in _LINES.split(raw)))
+                    blocks = [{"label": index.labels[k], "template": k, "line": bisect_right(ends, a), "containment": c} for k, a, _, c in met]
                 out["n_words"].append(len(words))
                 out["phrases"].append(found)
                 out["blocks"].append(blocks)

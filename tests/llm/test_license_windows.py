@@ -53,3 +53,36 @@ def test_windows_are_exact():
     assert met > 1000
     twice = licenses.words_of(b"Released under the MIT License.\nReleased under the MIT License.")
     assert [(a, b) for k, a, b, _ in index.windows(twice) if k == 0] == [(0, 5), (5, 10)]
+
+
+def test_names_and_distance_decide(spark):
+    far = " ".join(["released early"] + ["word"] * 50 + ["under"] + ["word"] * 50 + ["the"] + ["word"] * 50 + ["license"] + ["word"] * 50 + ["mit"])
+    texts = {
+        "Released under the Apache License": "apache", "Released under the GNU General Public License": "gpl", far: "", "Released under MIT License": "mit", "Released under this, the MIT (X11) License": "mit",
+        "Licensed under CC BY-SA 4.0": "", "Licensed under CC BY-NC 4.0": "cc-by-nc-4.0", "This work is licensed under the GNU General Public License, version 2": "gpl", "Licensed under the Mozilla License, Version 2.0": "",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation": "gpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "gpl,lgpl",
+    }
+    got = by_id(licenses.op5_license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {t: got[k]["labels"] for k, t in enumerate(texts)} == texts
+    assert got[2]["score"] == 0
+    own = (("foo", "Released under the Foo License"),)
+    rows = [(0, "released under the bar license"), (1, "released\nunder the Foo\nlicense")]
+    assert [len(r["blocks"]) for _, r in sorted(by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), own)).items())] == [0, 1]
+
+
+def test_windows_with_names_are_exact():
+    r = np.random.default_rng(9)
+    vocab = sorted(set().union(*SETS))
+    index = licenses.Templates(licenses.TEMPLATES, {w: int(r.integers(1, 50)) for w in vocab}, 0.8, licenses.NAMES)
+    must = [{w for w in s if w in licenses.NAMES or w.isdigit()} for s in SETS]
+    met = lost = 0
+    for _ in range(1500):
+        own = licenses.words_of(licenses.TEMPLATES[int(r.integers(len(SETS)))][1].encode())
+        words = [w for w in own if r.random() < 0.9] + [vocab[int(i)] if r.random() < 0.5 else b"other" for i in r.integers(0, len(vocab), 12)]
+        got = {k: c for k, _, _, c in sorted(index.windows(words), key=lambda x: x[3])}
+        for k, s in enumerate(SETS):
+            held = [s & set(words[i : i + index.reach[k]]) for i in range(len(words))]
+            most = max((len(h) for h in held if must[k] <= h), default=0)
+            assert (k in got) == (most >= index.need[k]) and (k not in got or got[k] == most / len(s))
+            met, lost = met + (k in got), lost + (k not in got and max(map(len, held)) >= index.need[k])
+    assert met > 500 and lost > 20
