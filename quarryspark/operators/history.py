@@ -16,11 +16,17 @@ def latest_turns(turns: DataFrame, limit: int | None = None, offset: int = 0) ->
     return rows if limit is None else rows.orderBy(F.desc("turn"), "conv_id").offset(offset).limit(limit)
 
 
+def messages(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, n_turns, text): every turn with its whole text and its conversation's number of turns."""
+    return turns.select("conv_id", "turn", "role", F.count("*").over(Window.partitionBy("conv_id")).alias("n_turns"), "text")
+
+
 def details(turns: DataFrame, most_characters: int = 40) -> DataFrame:
-    """(conv_id, n_turns, roles, opening): a conversation's turns in order, on one row. A conversation is small."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    rows = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), ordered.alias("t"))
-    return rows.select("conv_id", "n_turns", F.array_join("t.role", ">").alias("roles"), F.substring(F.element_at("t.text", 1), 1, most_characters).alias("opening"))
+    """(conv_id, n_turns, roles, opening): a digest on one row, the roles in order and how the first text begins. Roles
+    are collected, texts are not; `messages` has them whole."""
+    ordered, first = F.array_sort(F.collect_list(F.struct("turn", "role"))), F.min(F.struct("turn", "role", "text"))
+    rows = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), ordered.alias("t"), first.alias("first"))
+    return rows.select("conv_id", "n_turns", F.array_join("t.role", ">").alias("roles"), F.substring("first.text", 1, most_characters).alias("opening"))
 
 
 def compacted(turns: DataFrame, last: int = 6, most_characters: int = 250) -> DataFrame:

@@ -117,6 +117,10 @@ def conversation_detail(spark, root):
     return history.details(_turns(spark, root))
 
 
+def conversation_messages(spark, root):
+    return history.messages(_turns(spark, root))
+
+
 def history_last6(spark, root):
     return history.compacted(_turns(spark, root))
 
@@ -161,7 +165,7 @@ def closer_labels(spark, root):
 QUERIES = {
     "eval_recall_mrr": recall_mrr, "eval_by_category": by_category, "eval_compare_versions": compare_versions, "eval_rank_details": rank_details, "eval_top_competing": top_competing,
     "eval_rerank_delta": rerank_delta, "root_cause_histogram": root_causes, "latency_percentiles": latency_percentiles, "latency_by_bucket": latency_by_bucket, "failure_clusters": failure_clusters,
-    "latest_turn_per_conversation": latest_turn, "conversation_detail": conversation_detail, "history_last6": history_last6, "guardrail_flags": guardrail_flags, "detect_language": detect_language,
+    "latest_turn_per_conversation": latest_turn, "conversation_detail": conversation_detail, "conversation_messages": conversation_messages, "history_last6": history_last6, "guardrail_flags": guardrail_flags, "detect_language": detect_language,
     "phone_extract": phone_extract, "idle_sessions": idle_sessions, "ttl_dedup": ttl_dedup, "status_page": status_page, "closer_labels": closer_labels,
 }
 
@@ -187,6 +191,7 @@ ORACLE_SQL = {
       CASE failure_type WHEN 'RETRIEVAL_FAILURE' THEN 60 WHEN 'TOOL_FAILURE' THEN 85 ELSE 20 END AS severity FROM r JOIN b USING (failure_type, pattern) GROUP BY failure_type, pattern""",
     "latest_turn_per_conversation": "SELECT conv_id, turn, role, count(*) OVER (PARTITION BY conv_id) AS n_turns, sha256(text) AS text_sha256 FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
     "conversation_detail": "SELECT conv_id, count(*) AS n_turns, string_agg(role, '>' ORDER BY turn) AS roles, substring(arg_min(text, turn), 1, 40) AS opening FROM conversations GROUP BY 1",
+    "conversation_messages": "SELECT conv_id, turn, role, count(*) OVER (PARTITION BY conv_id) AS n_turns, text FROM conversations",
     "history_last6": "SELECT conv_id, turn, role, substring(trim(text), 1, 250) AS content FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6",
     "guardrail_flags": r"SELECT conv_id, turn, CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(lower(t), '" + "|".join(tx.INJECTION) + r"') THEN 'prompt_injection' WHEN contains(lower(t), 'kill yourself') THEN 'unsupported' WHEN length(t) > 4000 THEN 'too_long' ELSE 'pass' END AS guardrail FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM conversations)",
     "detect_language": r"SELECT conv_id, turn, CASE WHEN regexp_matches(t, '^\+?[0-9][0-9\s\-()]{6,}[0-9]$') THEN NULL WHEN regexp_matches(t, '[ऀ-ॿ]') AND regexp_matches(t, '[A-Za-z]') THEN 'hinglish' WHEN regexp_matches(t, '[ऀ-ॿ]') THEN 'hi' WHEN regexp_matches(t, '[A-Za-z]') THEN 'en' END AS language FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM conversations)",
