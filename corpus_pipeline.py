@@ -45,7 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids as little-endian unsigned 32-bit integers, their number and hash, and the hash of
     the bytes that they decode to."""
     path = public.path(RANKS)
-    tokens = byte_bpe.encoded(docs, path, public.PATTERN, keep=("doc_id", "lang", "source"))
+    tokens = byte_bpe.encoded(docs, path, public.PATTERN, keep=("doc_id", "lang", "source"), spaces_begin=True)
     back = byte_bpe.decoded(tokens.withColumn("kept_ids", F.col("ids")), path, keep=("doc_id", "lang", "source", "kept_ids"))
     return back.select("doc_id", "lang", "source", F.col("kept_ids").alias("ids"), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
