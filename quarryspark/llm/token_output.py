@@ -37,11 +37,14 @@ from pyspark.sql import functions as F
 from .shared import arrow_schema, bounded_batches, by_batch, checked_broadcast, fresh_path, whole_text, written
 
 SHARD_IDS = 1 << 21
+#: About the bytes of two shards: so few share a row group that a lookup passes over the others.
+SHARD_BYTES = 16 << 20
 #: A chunk of text that always gives the one token that no other text gives; it separates chunks in one call.
 MARK = "½"
 #: What a text must not hold if small letters are to be all that the tokenizer's normalisation does: letters beyond the
 #: Latin blocks, where marks combine, and white space other than spaces and line ends.
 BEYOND = re.compile("[^\x00-\u024f]|[\x09\x0b-\x0d\x1c-\x1f\x85\xa0]")
+ODD_SPACES = "\x09\x0b\x0c\x0d\x1c\x1d\x1e\x1f"
 SCHEMA = "shard long, n_ids long, low long, high long, keys binary, starts binary, sizes binary, bits binary, ranks binary, rows binary, prints binary, payload binary, width int"
 
 
@@ -139,18 +142,23 @@ class Coder:
 
     A text of Latin letters is lower-cased and its chunks are split by the tokenizer's own pattern here, and the library
     encodes the distinct pieces, many in a call; that is all that its normaliser and splitter would do to them, at half
-    the cost. The chunks of other texts go through the whole tokenizer, separated by MARK.
+    the cost. The chunks of other texts go through the whole tokenizer, separated by MARK. Texts that hold an added
+    token's string, which the library finds before all else, are encoded by it whole.
     """
 
-    def __init__(self, path: str, end: int | None, most: int = 8_000_000):
+    def __init__(self, path: str, end: int | None, most: int = 24_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.library = Tokenizer.from_file(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(pattern).findall
+            read = json.load(f)
+        self.split = regex.compile(read["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.added = [t["content"] for t in read["added_tokens"] if not t["normalized"]]
+        loose = [re.escape(t["content"]) for t in read["added_tokens"] if t["normalized"]]
+        self.loose = re.compile("|".join(loose), re.IGNORECASE) if loose else None
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -171,9 +179,11 @@ class Coder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _latin(self, chunks: list[str], together: int = 1000) -> None:
-        """Learns chunks in small Latin letters."""
-        parts = {c: self.split(c) for c in chunks}
-        new = list(set().union(*parts.values()).difference(self.pieces))
+        """Learns chunks in small Latin letters. Pieces hold no white space and leave none of the rest out, so the
+        chunks are split side by side, and their lengths say which pieces are whose."""
+        pieces = self.split(" ".join(chunks))
+        place = {p: k for k, p in enumerate(dict.fromkeys(pieces))}
+        new = [p for p in place if p not in self.pieces]
         for k in range(0, len(new), together):
             part = new[k : k + together]
             found = self.model.encode(" ".join(part), add_special_tokens=False)
@@ -182,8 +192,14 @@ class Coder:
             raw = np.array(found.ids).astype(self.kind).tobytes()
             for piece, a, b in zip(part, first, [*first[1:], len(found.ids)], strict=True):
                 self.pieces[piece] = raw[a * self.width : b * self.width]
-        for c, own in parts.items():
-            self.known[c] = self.pieces[own[0]] if len(own) == 1 else b"".join([self.pieces[p] for p in own])
+        own = [self.pieces[p] for p in place]
+        ids, n = np.frombuffer(b"".join(own), self.kind), np.fromiter(map(len, own), np.int64, len(own)) // self.width
+        code = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
+        end = np.append(0, np.cumsum(n[code]))
+        raw = ids[np.repeat((np.cumsum(n) - n)[code] - end[:-1], n[code]) + np.arange(end[-1])].tobytes()
+        cut = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))).searchsorted(np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks))))
+        at = [0, *(self.width * end[cut + 1]).tolist()]
+        self.known.update(zip(chunks, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
 
     def _other(self, chunks: list[str], together: int = 400) -> None:
         """Learns any chunks."""
@@ -200,18 +216,35 @@ class Coder:
             for c, a, b in zip(part, cuts, cuts[1:], strict=False):
                 self.known[c] = raw[(a + 1) * self.width : b * self.width]
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for k in range(0, len(texts), 64):
-            plain = [not BEYOND.search(t) for t in texts[k : k + 64]]
-            found = [(t.lower() if p else t).replace("\n", " ").split(" ") for t, p in zip(texts[k : k + 64], plain, strict=True)]
-            if self.size > self.most:
-                self._clear()
-            for learn, kind in ((self._latin, True), (self._other, False)):
-                new = list(set().union(*[f for f, p in zip(found, plain, strict=True) if p == kind]).difference(self.known))
+    def _window(self, texts: list[str]) -> Iterator[bytes]:
+        whole = {k: self.library.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts) if any(a in t for a in self.added) or (self.loose and self.loose.search(t))}
+        plain = [_plain(t) for t in texts]
+        found = [[] if k in whole else (t.lower() if p else t).replace("\n", " ").split(" ") for k, (t, p) in enumerate(zip(texts, plain, strict=True))]
+        if self.size > self.most:
+            self._clear()
+        for learn, kind in ((self._latin, True), (self._other, False)):
+            new = list(set().union(*[f for f, p in zip(found, plain, strict=True) if p == kind]).difference(self.known))
+            if new:
                 learn(new)
-                self.size += sum(map(len, new))
-            for chunks in found:
-                yield b"".join(map(self.known.__getitem__, chunks)) + self.end
+                self.size += sum(map(len, new)) + 20 * len(new)
+        for k, chunks in enumerate(found):
+            yield (np.array(whole[k]).astype(self.kind).tobytes() if k in whole else b"".join(map(self.known.__getitem__, chunks))) + self.end
+
+    def __call__(self, texts: list[str], window: int = 1_000_000) -> Iterator[bytes]:
+        """Ids of each text, a window of characters at a time; a longer text makes one alone."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= window:
+                yield from self._window(held)
+                held, size = [], 0
+        yield from self._window(held)
+
+
+def _plain(text: str) -> bool:
+    """Whether the text has nothing BEYOND; ASCII is looked through for single characters, which is faster."""
+    return not any(c in text for c in ODD_SPACES) if text.isascii() else not BEYOND.search(text)
 
 
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end: int | None = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> None:
@@ -244,13 +277,17 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end: int | Non
             yield close()
 
     placed = documents.select(F.col(id_col).cast("long").alias("key"), whole_text(text_col).alias("text")).repartitionByRange("key").sortWithinPartitions("key")
-    placed.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)
+    placed.mapInArrow(run, SCHEMA).write.option("compression", "none").option("parquet.block.size", SHARD_BYTES).parquet(path)
 
 
 def bases(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, base, low, high): the ids of all shards before each. It reads four columns, a row a shard of some MB."""
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return spark.read.parquet(path).select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"), "low", "high")
+    """(shard, part, base, low, high): the ids of all shards before each. The sums of the parts, one for each task that
+    wrote, are added up first, and then those within each part; five columns are read, a row a shard of some MB."""
+    shards = spark.read.parquet(path).select("shard", F.shiftright("shard", 32).alias("part"), "n_ids", "low", "high")
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("first"))
+    own = before(Window.partitionBy("part").orderBy("shard"))
+    return shards.withColumn("own", own).join(parts, "part").select("shard", "part", (F.col("first") + F.col("own")).alias("base"), "low", "high")
 
 
 def _read(shards: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
@@ -291,12 +328,25 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return _read(shards, "doc_id long, start long, n_tokens long, ids_crc32 long, place long", make)
 
 
-def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str) -> DataFrame:
-    """(key, ids) of the documents with the wanted keys, ids as an array; keys that are not there give no row. Keys go
-    to the shards whose range holds them; only those shards' payloads are read."""
-    ranges = written(bases(spark, path).where("low is not null").select("shard", "low", "high"), "ranges")
+def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str, named: int = 1000) -> DataFrame:
+    """(key, ids) of the documents with the wanted keys, ids as an array; keys that are not there give no row.
+
+    The first keys of the parts, one for each task that wrote, come to the driver and lead a key to its part; there it
+    joins the shards whose range holds it. If these are at most `named`, the scan names them, so that row groups without
+    one are not read; else the shards are joined."""
+    ranges = written(bases(spark, path).where("low is not null").select("shard", "part", "low", "high"), "ranges")
+    parts = sorted((r["low"], r["part"]) for r in ranges.groupBy("part").agg(F.min("low").alias("low")).collect())
+    lows, numbers = np.array([a for a, _ in parts], np.int64), np.array([-1, *[b for _, b in parts]], np.int64)
+
+    def part_of():
+        return lambda batch: {"key": batch["key"], "part": numbers[lows.searchsorted(batch["key"].to_numpy(), "right")]}
+
     wanted = keys.select(F.col(key_col).cast("long").alias("key")).where("key is not null").distinct()
-    placed = wanted.join(checked_broadcast(ranges, 48), F.col("key").between(F.col("low"), F.col("high"))).groupBy("shard").agg(F.collect_list("key").alias("wanted"))
+    placed = by_batch(wanted, "key long, part long", part_of).join(checked_broadcast(ranges, 64), "part").where(F.col("key").between(F.col("low"), F.col("high")))
+    placed = written(placed.groupBy("shard").agg(F.collect_list("key").alias("wanted")), "placed")
+    shards, some = spark.read.parquet(path), [r["shard"] for r in placed.select("shard").limit(named + 1).collect()]
+    if len(some) <= named:
+        shards, placed = shards.where(F.col("shard").isin(some)), F.broadcast(placed)
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
@@ -312,10 +362,13 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str) -> Dat
 
         return each
 
-    return _read(spark.read.parquet(path).join(placed, "shard"), "key long, ids array<int>", make)
+    return _read(shards.join(placed, "shard"), "key long, ids array<int>", make)
 
 
 def op4_token_output(documents: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document as read back from the files, as write_tokens() and
+    read_documents() define them: null texts have the end id only, null keys come first, repeated keys stand together,
+    other columns are not read, and an empty table gives no row."""
     import public_tokenizers as public
 
     spark = documents.sparkSession

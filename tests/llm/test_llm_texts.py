@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 
@@ -9,6 +10,8 @@ import numpy as np
 import public_tokenizers as public
 import pytest
 import tiktoken
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -93,6 +96,31 @@ def test_token_files(spark, docs, tmp_path):
     assert token_output.op4_token_output(docs.limit(0)).count() == 0
 
 
+def test_token_ids_are_those_of_the_library():
+    """Also where a text holds an added token's string, in any script, and for odd white space, marks and long runs."""
+    path = public.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    r = np.random.default_rng(8)
+    bits = ["Hello", "it's", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "漢字", "½", "É", "e\u0301", "\t", "\n", "\x85", "\u3000", " ", "  ", "12345", "...", "don't", "x" * 300, "😀", "ﬁ", "İ", "ß"]
+    texts = ["hello <|endoftext|> world", "<|startoftext|>漢字<|endoftext|>", *["".join(bits[int(i)] for i in r.integers(0, len(bits), int(n))) for n in r.integers(0, 12, 3000)]]
+    code = token_output.Coder(path, 2, most=2000)
+    got = [np.frombuffer(x, code.kind).tolist() for x in code(texts, window=5000)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert got[0] == [3306, 49407, 1002, 2]
+
+
+def test_lookup_names_the_wanted_shards(spark, tmp_path):
+    path, where = f"file://{tmp_path}/many", public.path("word_bpe_49k.json")
+    docs = spark.range(0, 3000, 1, 6).select((F.col("id") * 3 % 2999).alias("doc_id"), F.concat(F.lit("words and number "), "id").alias("text"))
+    token_output.write_tokens(docs, path, where, shard_ids=500)
+    rows = sorted(token_output.read_documents(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == sorted(k * 3 % 2999 for k in range(3000))
+    assert [r["start"] for r in rows] == [sum(r["n_tokens"] for r in rows[:k]) for k in range(3000)]
+    keys = spark.createDataFrame([(0,), (17,), (2998,), (2999,), (-5,)], "k long")
+    for named in (1000, 1):
+        assert sorted(r["key"] for r in token_output.lookup(spark, path, keys, "k", named=named).collect()) == [0, 0, 17, 2998]
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 5000))
     own = token_output.PerfectHash.build(keys)
@@ -167,6 +195,32 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.op6_toxicity(docs, known.limit(0)).count() == docs.count()
 
 
+def test_toxicity_scores_are_those_of_plain_compression(spark):
+    """Scores of a small table again, window by window, by zstandard alone. Null, empty, very long and repeated texts,
+    and columns named like those within."""
+    rows, labels = labelled(120)
+    rows += [(500, "vlompig " * 30_000), (501, None), (502, "12 !!"), (3, rows[3][1])]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit(9)).withColumn("y", F.lit(1)).withColumn("id", F.lit(2))
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int").withColumn("t", F.lit("x")))
+    size = lambda kind, data: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(kind), write_content_size=False, write_dict_id=False).compress(data))
+
+    def by_hand(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        spell = lambda w: b"".join(xxhash.xxh32_digest(f"  {w} "[i : i + 3].encode()) for i in range(len(w) + 1))
+        windows = [b"".join(map(spell, words[k : k + 3])) for k in range(0, len(words), 3)]
+        saved = [size(model.ordinary, w) - size(model.toxic, w) for w in windows[:400]] * (1 if len(windows) <= 400 else 0)
+        if not saved and windows:
+            one = size(model.ordinary, windows[0]) - size(model.toxic, windows[0])
+            saved = [one] * len(windows)
+        hits = [sum(d >= b for d in saved) for b in toxicity.SAVED]
+        x = [1.0, *[math.log1p(1000 * h / max(1, len(saved))) for h in hits], *[math.log1p(h) for h in hits]]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+    got = sorted((r["doc_id"], round(r["score"], 9)) for r in toxicity.scored(docs, model).collect())
+    assert got == sorted((i, round(by_hand(t), 9)) for i, t in rows)
+    assert toxicity.scored(docs.limit(0), model).count() == 0 and toxicity.fit(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).weights[1:] == (0.0,) * 20
+
+
 def test_language_on_held_out_rows(spark):
     r = np.random.default_rng(4)
     rows = [(k, " ".join("".join(r.choice(list(a), int(r.integers(2, 9)))) for _ in range(40)), lang) for k, (lang, a) in enumerate([("xx", "abcdef"), ("yy", "defghé")] * 150)]
