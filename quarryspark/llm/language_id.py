@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import by_batch, checked_broadcast, written
+from .shared import by_batch, checked_broadcast, lowest_share, written
 
 WORDS = re.compile(r"[^\W\d_]+")
 NONE = "und"
@@ -42,14 +42,20 @@ def _log_frequencies(counts: DataFrame, key: str, languages: list[str], least: i
     return list(rows[key]), logs.astype(np.float32)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, longest: int = 5, least: int = 2) -> Model:
-    """A model from at most `per_language` labelled rows of each language (the documented bound of the sample; those
-    with the smallest hash of the id). Null or empty languages are not learned."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, longest: int = 5, least: int = 2, most_chars: int = 50_000) -> Model:
+    """A model from at most `per_language` labelled ids of each language (the documented bound of the sample: those with
+    the smallest hash of the id, texts of over `most_chars` characters passed over). Null or empty languages are not
+    learned. The rows of each language are counted first, and only ids of so low a hash that about twice as many as are
+    wanted have it are ranked, so no task ranks a language."""
     order = Window.partitionBy("lang").orderBy("h", "id")
-    rows = labelled.where(f"{lang_col} is not null and {lang_col} <> '' and {text_col} is not null and {id_col} is not null")
+    rows = labelled.where(f"{lang_col} is not null and {lang_col} <> '' and {text_col} is not null and {id_col} is not null").where(F.length(text_col) <= most_chars)
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = rows.select("lang", "id", F.xxhash64("id").alias("h")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
-    chosen = written(chosen.select("lang", "id").distinct(), "chosen")
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not totals:
+        return Model([], {}, {}, np.zeros((0, 0), np.float32), longest)
+    total = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(totals.items()) for x in kv]), F.col("lang"))
+    low = rows.select("lang", "id", F.xxhash64("id").alias("h")).where(lowest_share(F.col("h"), per_language, total)).distinct()
+    chosen = written(low.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("lang", "id"), "chosen")
     sample = rows.join(checked_broadcast(chosen, 64), ["lang", "id"])  # per_language ids a language: no text is shuffled
 
     def count():
@@ -64,9 +70,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         return each
 
     words = written(by_batch(sample.select("lang", "text"), "lang string, word string", count).groupBy("lang", "word").agg(F.count("*").alias("c")), "words")
-    languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
-    if not languages:
-        return Model([], {}, {}, np.zeros((0, 0), np.float32), longest)
+    languages = sorted(totals)
     marked = F.concat(F.lit("^"), "word", F.lit("$"))
     grams = words.select("lang", "c", marked.alias("w"), F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).where(F.col("n") <= F.length("w"))
     grams = grams.select("lang", "c", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - F.col("n") + 1), lambda i: F.substring("w", i, F.col("n")))).alias("gram"))
@@ -101,7 +105,8 @@ def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col
     """(id, kept, lang_pred, score) for every row and whole text. Null texts and texts without letters get `und` and
     score 0; so does everything if the model has learned no language. Ties go to the first language by name. The score
     is the winner's share after each language's mean log frequency is spread over ten words. `kept` is a struct of the
-    columns named by keep, left out where none are."""
+    columns named by keep, left out where none are. Rows that repeat are predicted each; an empty table gives no row;
+    columns that are not named are not read."""
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast(model)
     kinds = dict(documents.select(F.col(id_col).alias("id"), F.struct(*dict.fromkeys((text_col, *keep))).alias("kept")).dtypes)
@@ -152,5 +157,6 @@ def learned_from(documents: DataFrame) -> Model:
 
 
 def op7_language_id(documents: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document, as predict() defines them; held-out rows teach nothing."""
     found = predict(documents, learned_from(documents))
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -16,9 +16,12 @@ ROWS_PER_BATCH = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session, as in tests,
+    sets a temporary one; on a cluster that would be another folder on each machine, so it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", "")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -116,6 +119,13 @@ def paired_chunks(df: DataFrame, salt: Column, chunks: Column, i: str = "i", j:
     return df.withColumn(own, c.cast("int")).withColumn("_d", d).withColumn(i, F.least(own, "_d")).withColumn(j, F.greatest(own, "_d")).drop("_d")
 
 
+def lowest_share(h: Column, n: int | Column, total: int | Column) -> Column:
+    """Whether a 64-bit hash is among so low ones that about 2 n + 100 of `total` rows are: the n lowest are among them
+    but for a chance of 1e-20. It bounds what is ranked to choose n rows."""
+    share = F.least(F.lit(1.0), (2.0 * n + 100) / F.greatest(F.lit(1.0), F.lit(total) if isinstance(total, int) else total))
+    return F.coalesce(h / F.lit(2.0**64) + 0.5 <= share, F.lit(False))
+
+
 def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
     """df, marked for broadcast if its counted rows stay within the limit; else joins shuffle it. df is a written table."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
