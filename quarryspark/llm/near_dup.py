@@ -47,10 +47,6 @@ class Params:
         match = (c := 0.5**BITS) + (1 - c) * self.percent / 100
         return math.ceil(self.hashes * (1 - match) + 5 * math.sqrt(self.hashes * match * (1 - match)))
 
-    def estimate(self, differing: int) -> float:
-        c = 0.5**BITS
-        return max(0.0, (1 - differing / self.hashes - c) / (1 - c))
-
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
@@ -236,6 +232,8 @@ def kept_documents(documents: DataFrame, p: Params = Params(), id_col: str = "do
 
 
 def op8_minhash(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document for three words and 85 percent, as near_duplicates()
+    defines them."""
     return near_duplicates(documents, Params(words=3, percent=85))
 
 

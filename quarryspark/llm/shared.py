@@ -46,7 +46,10 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as stored; where it has fewer files than there are cores, its rows are dealt out one partition a core, as
+    a small file is one row group and so one task. A table of more files is never shuffled for it."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name == "documents" and len(rows.inputFiles()) < cores else rows
 
 
 def free_name(df: DataFrame, name: str) -> str:
