@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryspark.llm import byte_bpe, exact_dedup, language_id, mixing, near_dup
-from quarryspark.llm.shared import written
+from quarryspark.llm.shared import table, written
 
 #: Documents whose language is less sure than this go, as do those without letters.
 LEAST_SURE = 0.5
@@ -63,7 +63,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
