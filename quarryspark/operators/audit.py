@@ -27,10 +27,11 @@ def identity_issues(rows: DataFrame, item: str, identity: str, url: str) -> Data
 
 
 def numbering_gaps(rows: DataFrame, key: str, number: str) -> DataFrame:
-    """(key, missing, repeated) of the keys whose numbers do not run from 0 without gaps and repeats. A key has few."""
-    own = rows.groupBy(key).agg(F.collect_set(number).alias("s"), F.max(number).alias("m"), F.count("*").alias("n"))
-    found = own.select(key, F.size(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long")), F.col("s"))).alias("missing"), (F.col("n") - F.size("s")).alias("repeated"))
-    return found.where("missing > 0 or repeated > 0")
+    """(key, missing, repeated) of the keys whose numbers do not run from 0 without gaps and repeats. Numbers are counted
+    by value first, so no key is gathered."""
+    each = rows.groupBy(key, number).agg(F.count("*").alias("_n"))
+    own = each.groupBy(key).agg(F.sum("_n").alias("_n"), F.count("*").alias("_d"), F.max(number).alias("_m"), F.count_if(F.col(number) >= 0).alias("_k"))
+    return own.select(key, (F.col("_m") + 1 - F.col("_k")).cast("int").alias("missing"), (F.col("_n") - F.col("_d")).alias("repeated")).where("missing > 0 or repeated > 0")
 
 
 def pattern_hits(documents: DataFrame, patterns: dict[str, str], text: str = "text", item: str = "doc_id") -> DataFrame:

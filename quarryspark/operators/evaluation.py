@@ -78,15 +78,28 @@ def root_cause(n_expected: Column, chunk_rank: Column, document_rank: Column) ->
     )
 
 
-def nearest_rank(rows: DataFrame, value: str, percents: tuple[int, ...], *by: str) -> DataFrame:
+def nearest_rank(rows: DataFrame, value: str, percents: tuple[int, ...], *by: str, small: int = 100_000) -> DataFrame:
     """(by..., n, pNN...): the value at place round(p (n - 1)) from 0, halves to even, not interpolated, to three places.
 
-    The place is found by a window over the group rather than by collecting the group, so a large group is sorted with
-    spilling and its values meet nowhere."""
-    own = Window.partitionBy(*by)
-    placed = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v")).withColumn("n", F.count("*").over(own)).withColumn("i", F.row_number().over(own.orderBy("v")) - 1)
-    at = [F.bround(F.max(F.when(F.col("i") == F.bround(F.lit(p / 100) * (F.col("n") - 1), 0).cast("long"), F.col("v"))), 3).alias(f"p{p}") for p in percents]
-    return placed.groupBy(*by).agg(F.max("n").alias("n"), *at)
+    Exact, in three passes of partial sums: a sketch gives for each place two values between which it lies (in groups of
+    at most `small` rows, the smallest and largest), the rows below are counted, and only the distinct values between
+    them, some thousandths of a large group, are ranked by their running counts."""
+    own = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
+    least, most = ([min(1.0, max(0.0, p / 100 + d)) for p in percents] for d in (-2e-4, 2e-4))
+    sketch = own.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("v", least, 10_000).alias("lo"), F.percentile_approx("v", most, 10_000).alias("hi"), F.min("v").alias("min"), F.max("v").alias("max"))
+    whole = F.col("n") <= small
+    edges = [F.struct(F.lit(p).alias("p"), F.when(whole, F.col("min")).otherwise(F.col("lo")[i]).alias("a"), F.when(whole, F.col("max")).otherwise(F.col("hi")[i]).alias("b")) for i, p in enumerate(percents)]
+    sketch = sketch.select(*[F.col(c).alias(f"_{c}") for c in by], "n", F.array(*edges).alias("edges"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    marked = own.join(sketch, same).select(*by, "n", "v", F.explode("edges").alias("e")).where(F.col("v") <= F.col("e.b"))
+    inside = F.when(F.col("v") >= F.col("e.a"), F.col("v"))
+    counts = marked.groupBy(*by, "n", F.col("e.p").alias("p"), inside.alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by, "p").orderBy(F.col("v").asc_nulls_first()))  # a null stands for all rows below
+    place = F.bround(F.col("p") / 100.0 * (F.col("n") - 1), 0).cast("long")
+    found = counts.withColumn("upto", upto).where((F.col("upto") > place) & F.col("v").isNotNull())
+    return found.groupBy(*by).agg(F.max("n").alias("n"), *[F.bround(F.min(F.when(F.col("p") == p, F.col("v"))), 3).alias(f"p{p}") for p in percents])
 
 
 #: How grave a failure is; what is not listed weighs 20.

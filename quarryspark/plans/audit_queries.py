@@ -26,8 +26,9 @@ def identity_integrity(spark, root):
 
 
 def turn_numbering(spark, root):
-    """Turns of users only, whose numbers have gaps where others spoke."""
-    return audit.numbering_gaps(table(spark, root, "conversations").where("role = 'user'"), "conv_id", "turn")
+    """Turns of each role, whose numbers have gaps where others spoke."""
+    turns = table(spark, root, "conversations").select(F.concat_ws(":", "conv_id", "role").alias("speaker"), "turn")
+    return audit.numbering_gaps(turns, "speaker", "turn")
 
 
 def boilerplate_scan(spark, root):
@@ -35,9 +36,8 @@ def boilerplate_scan(spark, root):
 
 
 def sticky_language(spark, root):
-    """The language of the last turn so far that was long enough to tell."""
-    value = F.when(F.length("text") >= 200, tx.script_language(F.col("text")))
-    rows = audit.sticky(table(spark, root, "conversations"), "conv_id", "turn", value, "none")
+    """The language of the last turn so far that has one."""
+    rows = audit.sticky(table(spark, root, "conversations"), "conv_id", "turn", tx.script_language(F.col("text")), "none")
     return rows.select("conv_id", "turn", F.col("sticky").alias("language"))
 
 
@@ -57,8 +57,8 @@ ORACLE_SQL = {
     "chunk_bands": _LINES.rstrip(", ") + " SELECT count(*) FILTER (token_count < 30) AS under, count(*) FILTER (token_count BETWEEN 30 AND 150) AS within, count(*) FILTER (token_count > 150) AS over, round_even(avg(token_count), 2) AS mean, median(token_count)::DOUBLE AS median, max(token_count) AS most FROM n0",
     "corpus_cross_tab": "WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents) SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS lang, CASE WHEN grouping(source) = 1 THEN 'all' ELSE source END AS source, count(*) AS n FROM d GROUP BY CUBE (lang, source)",
     "identity_integrity": _U + ", g AS (SELECT normalised AS key, count(*) AS n, count(DISTINCT url) AS urls FROM u GROUP BY 1) SELECT 'duplicate_identity' AS issue, key, n FROM g WHERE n > 1 UNION ALL SELECT 'normalisation_collision', key, n FROM g WHERE urls > 1",
-    "turn_numbering": "SELECT * FROM (SELECT conv_id, (max(turn) + 1 - count(DISTINCT turn))::INT AS missing, count(*) - count(DISTINCT turn) AS repeated FROM conversations WHERE role = 'user' GROUP BY 1) WHERE missing > 0 OR repeated > 0",
+    "turn_numbering": "SELECT * FROM (SELECT concat_ws(':', conv_id, role) AS speaker, (max(turn) + 1 - count(DISTINCT turn))::INT AS missing, count(*) - count(DISTINCT turn) AS repeated FROM conversations GROUP BY 1) WHERE missing > 0 OR repeated > 0",
     "boilerplate_scan": _HITS,
-    "sticky_language": r"WITH l AS (SELECT conv_id, turn, CASE WHEN length(text) < 200 OR regexp_matches(t, '^\+?[0-9][0-9\s\-()]{6,}[0-9]$') THEN NULL WHEN regexp_matches(t, '[ऀ-ॿ]') AND regexp_matches(t, '[A-Za-z]') THEN 'hinglish' WHEN regexp_matches(t, '[ऀ-ॿ]') THEN 'hi' WHEN regexp_matches(t, '[A-Za-z]') THEN 'en' END AS v FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM conversations)) SELECT conv_id, turn, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'none') AS language FROM l",
+    "sticky_language": r"WITH l AS (SELECT conv_id, turn, CASE WHEN regexp_matches(t, '^\+?[0-9][0-9\s\-()]{6,}[0-9]$') THEN NULL WHEN regexp_matches(t, '[ऀ-ॿ]') AND regexp_matches(t, '[A-Za-z]') THEN 'hinglish' WHEN regexp_matches(t, '[ऀ-ॿ]') THEN 'hi' WHEN regexp_matches(t, '[A-Za-z]') THEN 'en' END AS v FROM (SELECT *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM conversations)) SELECT conv_id, turn, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'none') AS language FROM l",
     "token_distribution": "SELECT lang, count(*) AS n, " + ", ".join(f"round_even((list(tokens ORDER BY tokens))[round_even({p / 100}::DOUBLE * (count(*) - 1), 0)::INT + 1], 3) AS p{p}" for p in (50, 90, 95, 99)) + f" FROM ({_T}) GROUP BY 1",
 }

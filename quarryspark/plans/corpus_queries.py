@@ -173,9 +173,9 @@ _EST = r"CASE WHEN trim(regexp_replace(coalesce({0}, ''), '[ \t\n\r\f\v]+', ' ',
 _LINES = "WITH l AS (SELECT doc_id AS document_id, source AS website, unnest(string_split(coalesce(text, ''), chr(10))) AS content, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS chunk_index FROM documents), n0 AS (SELECT *, " + _EST.format("content") + " AS token_count, trim(content) AS body FROM l), "
 _SMALL = r"(regexp_matches(body, '^[0-9]+(\.[0-9]+)+\s+') OR (contains(body, ':') AND " + _W.format("body") + r" >= 2) OR regexp_matches(body, '(?i)(battery size|within [A-Za-z0-9_]+ days|rma required|return/replacement|eligibility|ms\b|hrs\b|mah\b)'))"
 _NOISE = _LINES + "n AS (SELECT *, " + _SMALL + r""" AS small, CASE WHEN body = '' OR """ + _SMALL + r""" THEN NULL
- WHEN regexp_matches(body, '(?i)^open media [0-9]+ in modal$') THEN 'media_fragment' WHEN regexp_matches(body, '(?i)^[0-9]+\s*/\s*of\s*[0-9]+$') THEN 'page_counter' WHEN regexp_matches(body, '^- [0-9]+$') THEN 'numeric_list_debris'
- WHEN regexp_matches(body, '(?i)^- [a-z]{1,4}$') THEN 'short_list_debris' WHEN body IN ('-', 'i', 'g', '(B)') AND token_count <= 2 THEN 'single_token_debris' WHEN token_count <= 5 AND regexp_matches(body, '(?i)^[IVXLC0-9\s=\-]+$') THEN 'roman_numeral_debris' END AS reason FROM n0),
-nn AS (SELECT *, CASE reason WHEN 'media_fragment' THEN 0.98 WHEN 'page_counter' THEN 0.95 WHEN 'numeric_list_debris' THEN 0.95 WHEN 'short_list_debris' THEN 0.9 WHEN 'single_token_debris' THEN 0.95 WHEN 'roman_numeral_debris' THEN 0.88 ELSE 0 END::DOUBLE AS confidence,
+ WHEN regexp_matches(body, '(?i)^open media [0-9]+ in modal$') THEN 'shopify_ui_fragment' WHEN regexp_matches(body, '(?i)^[0-9]+\s*/\s*of\s*[0-9]+$') THEN 'page_counter' WHEN regexp_matches(body, '^- [0-9]+$') THEN 'numeric_list_debris'
+ WHEN regexp_matches(body, '(?i)^- [a-z]{1,4}$') THEN 'short_list_debris' WHEN body IN ('-', 'i', 'g', '(B)') AND token_count <= 2 THEN 'single_token_debris' WHEN token_count <= 5 AND regexp_matches(body, '(?i)^[IVXLC0-9+\s=\-]+$') THEN 'ocr_roman_numeral_debris' END AS reason FROM n0),
+nn AS (SELECT *, CASE reason WHEN 'shopify_ui_fragment' THEN 0.98 WHEN 'page_counter' THEN 0.95 WHEN 'numeric_list_debris' THEN 0.95 WHEN 'short_list_debris' THEN 0.9 WHEN 'single_token_debris' THEN 0.95 WHEN 'ocr_roman_numeral_debris' THEN 0.88 ELSE 0 END::DOUBLE AS confidence,
  CASE WHEN reason = 'page_counter' THEN 'context_noise' ELSE 'standalone_low_value' END AS category FROM n) """
 _PARTS = " ".join(f"WHEN contains(lower({of}), '{part}') THEN '{reason}'" for of, parts in (("url", corpus.URL_PARTS), ("title", corpus.TITLE_PARTS), ("text", corpus.UI_TEXTS)) for part, reason in parts)
 _RED = "coalesce(text, '')"

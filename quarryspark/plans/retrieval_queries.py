@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +24,19 @@ def vectors(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
 
 
+def _postings(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and sizes of the corpus, on disk: all queries of a session over the same tables share them, and a lost
+    block is made again."""
+    asked, texts = questions(spark, root), corpus(spark, root)
+    return retrieval.postings(asked, texts).persist(StorageLevel.DISK_ONLY), retrieval.sizes(texts).persist(StorageLevel.DISK_ONLY)
+
+
 def keyword(spark, root):
-    return retrieval.keyword_topk(questions(spark, root), corpus(spark, root))
+    return retrieval.keyword_topk(questions(spark, root), corpus(spark, root), given=_postings(spark, root)[0]).persist(StorageLevel.DISK_ONLY)
 
 
 def bm25(spark, root):
-    return retrieval.bm25_topk(questions(spark, root), corpus(spark, root))
+    return retrieval.bm25_topk(questions(spark, root), corpus(spark, root), given=_postings(spark, root)).persist(StorageLevel.DISK_ONLY)
 
 
 def cosine(spark, root):
@@ -56,7 +64,7 @@ def capped(spark, root):
 
 
 def reranked(spark, root):
-    return retrieval.reranked_by_idf(capped(spark, root), questions(spark, root), corpus(spark, root)).drop("ord")
+    return retrieval.reranked_by_idf(capped(spark, root), questions(spark, root), corpus(spark, root)).drop("ord").persist(StorageLevel.DISK_ONLY)
 
 
 def passthrough(spark, root):

@@ -8,7 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("documents", "pages", "embeddings", "benchmark", "labels", "conversations", "events", "orders", "customer", "lineitem", "part", "supplier", "nation", "region")
 
 
+#: Tables of texts, whose rows cost far more to work on than to move.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The table as stored; texts in fewer files than there are cores are dealt out first (see dealt_out)."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    rows = spark.read.parquet(f"{root}/{name}.parquet")
+    return dealt_out(rows) if name in TEXTS else rows
+
+
+def dealt_out(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than the cluster has cores, one partition a core: a small file is one row group and would be
+    one task. A table of more files stays as it is, so large tables are never shuffled for it."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows

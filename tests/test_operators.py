@@ -29,7 +29,7 @@ def test_sentences(spark):
     assert got == ["One.", "Two?", "3 (x) no. end"]
 
 
-@pytest.mark.parametrize(("text", "reason"), [("Open media 3 in modal", "media_fragment"), ("3 / of 4", "page_counter"), ("- 7", "numeric_list_debris"), ("- ab", "short_list_debris"), ("IV X", "roman_numeral_debris"), ("1.2 Clause", None), ("size: 10", None)])
+@pytest.mark.parametrize(("text", "reason"), [("Open media 3 in modal", "shopify_ui_fragment"), ("3 / of 4", "page_counter"), ("- 7", "numeric_list_debris"), ("- ab", "short_list_debris"), ("IV X", "ocr_roman_numeral_debris"), ("IV+", "ocr_roman_numeral_debris"), ("1.2 Clause", None), ("size: 10", None)])
 def test_noise(spark, text, reason):
     row = spark.createDataFrame([(text, 2)], "c string, n long").select(corpus.noise(F.col("c"), F.col("n"))["reason"].alias("r")).first()
     assert row["r"] == reason
@@ -108,3 +108,26 @@ def test_writes_may_be_repeated(spark):
     assert sorted(map(tuple, store.upserted(a, b, ["k"], force=True).collect())) == [(1, "y"), (2, "z")]
     v = store.versions(spark.createDataFrame([(1, n, h) for n, h in enumerate("aabba")], "k long, n long, h string"), "k", "n", "h")
     assert [(r["version"], r["is_current"]) for r in v.orderBy("n").collect()] == [(1, False), (1, False), (2, False), (2, False), (3, True)]
+
+
+def test_nearest_rank_by_sketch_is_exact(spark):
+    """Groups above `small` are ranked between the values that a sketch gives: heavy ties, a null group, an outlier."""
+    values = [round(((k * 7919) % 10_007) / 10.0, 1) for k in range(10_007)] + [500.0] * 5_000 + [1e9]
+    rows = spark.createDataFrame([("a", v) for v in values] + [(None, v) for v in values[:3_000]] + [("b", 2.0), ("b", None)], "g string, v double").repartition(6)
+    got = {r["g"]: r for r in evaluation.nearest_rank(rows, "v", (1, 50, 90, 99), "g", small=100).collect()}
+    for g, own in (("a", sorted(values)), (None, sorted(values[:3_000])), ("b", [2.0])):
+        assert got[g]["n"] == len(own)
+        assert [got[g][f"p{p}"] for p in (1, 50, 90, 99)] == [round(own[round(p / 100 * (len(own) - 1))], 3) for p in (1, 50, 90, 99)]
+
+
+def test_first_of_equal_keys(spark):
+    rows = spark.createDataFrame([(1, "x", 3), (2, "x", 1), (3, None, 2), (4, None, 5), (5, "y", 0)], "i int, k string, o int")
+    got = {r["i"]: (r["kept"], r["duplicate_of"]) for r in corpus.kept_first(rows, ["k"], ["o"], "i").collect()}
+    assert got == {1: (False, 2), 2: (True, None), 3: (True, None), 4: (False, 3), 5: (True, None)}
+
+
+def test_gaps_and_repeats(spark):
+    rows = spark.createDataFrame([("a", 0), ("a", 2), ("b", 0), ("b", 1), ("c", 0), ("c", 0), ("c", 1_000_000_000)], "k string, t long")
+    from quarryspark.operators import audit
+
+    assert {tuple(r) for r in audit.numbering_gaps(rows, "k", "t").collect()} == {("a", 1, 0), ("c", 999_999_999, 1)}
