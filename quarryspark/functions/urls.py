@@ -70,3 +70,14 @@ def uuid5(name: Column, space: str = DNS) -> Column:
 
 def document_id(site: Column, url: Column) -> Column:
     return uuid5(F.concat(F.lower(site), F.lit(":"), normalised(url)))
+
+
+def slug(url: Column) -> Column:
+    """A URL's host as a name for files; crawl where it has none."""
+    host = F.replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), F.lit("www."), F.lit(""))
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(host, "[^a-zA-Z0-9._-]+", "-"), "^-+|-+$", ""), F.lit("")), F.lit("crawl"))
+
+
+def hash_filename(content_hash: Column) -> Column:
+    """The file of an immutable artifact, by its content hash."""
+    return F.concat(F.lit("sha256_"), F.regexp_replace(content_hash, "^sha256:", ""), F.lit(".json"))

@@ -59,3 +59,38 @@ def raw_artifacts(pages: DataFrame) -> DataFrame:
 def url_index(artifacts: DataFrame) -> DataFrame:
     """(website, canonical_url, n_versions, latest_hash): by the order in which pages came."""
     return artifacts.groupBy("website", "canonical_url").agg(F.count_distinct("content_hash").alias("n_versions"), F.max_by("content_hash", "page_id").alias("latest_hash"))
+
+
+def by_hash(artifacts: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The artifacts with the wanted content hashes."""
+    return artifacts.join(hashes.select("content_hash").distinct(), "content_hash", "left_semi")
+
+
+def at_version(rows: DataFrame, version: int, column: str = "version") -> DataFrame:
+    """The rows of one version; where a key has several of it, all."""
+    return rows.where(F.col(column) == version)
+
+
+def without(stored: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The table without the rows of excluded documents."""
+    return stored.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def present(stored: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """The asked keys with `n`, the number of stored rows of each, and `exists`."""
+    n = stored.groupBy(*keys).agg(F.count("*").alias("n"))
+    return asked.select(*keys).distinct().join(n, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("exists"))
+
+
+def with_status(rows: DataFrame, changes: DataFrame, key: str, status: str = "status", by: str = "changed_by") -> DataFrame:
+    """The table after changes (key, status, by): the last named status of a key, by the greatest `by`, replaces its own.
+    `changed` says where it is another one."""
+    last = changes.groupBy(key).agg(F.max(F.struct(by, status)).alias("_c"))
+    return rows.join(last, key, "left").select(*[c for c in rows.columns if c != status], F.coalesce(f"_c.{status}", status).alias(status), F.coalesce(F.col(f"_c.{status}") != F.col(status), F.lit(False)).alias("changed"))
+
+
+def corpus_manifest(rows: DataFrame, group: str, item: str, content: str) -> DataFrame:
+    """(group, n, first, last, fingerprint): each group's number of rows and an order-free fingerprint of its contents.
+    Only sums meet, so a group of any size is in no one task."""
+    mark = F.conv(F.substring(F.sha2(content, 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.min(item).alias("first"), F.max(item).alias("last"), F.sum(mark).cast("decimal(38,0)").cast("string").alias("fingerprint"))
