@@ -183,6 +183,8 @@ for _pattern, _new in (tx.REDACTIONS[0], *tx.REDACTIONS):
     _RED = f"regexp_replace({_RED}, '{_pattern}', '{_new.replace('$', chr(92))}', 'g')"
 
 ORACLE_SQL = {
+    "document_identity_uuid5": _U + ", h AS (SELECT page_id, website, sha1(unhex('" + urls.DNS + "') || encode(lower(website) || ':' || normalised)) AS h FROM u) SELECT page_id, website, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substring('89ab', ('0x' || h[17:17])::INT % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS document_id FROM h",
+    "sentence_split": r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(coalesce(text, '')), '([.!?])[ \t\n\v\f\r]+([A-Z0-9"(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents) SELECT doc_id, unnest(s) AS text, (generate_subscripts(s, 1) - 1)::INT AS sentence FROM s""",
     "dup_content_hash": _H + "SELECT content_hash, count(*) AS n, min(doc_id) AS first, count(*) AS several FROM h GROUP BY 1 HAVING count(*) > 1",
     "dup_cross_source": _H + "SELECT content_hash, count(*) AS n, min(doc_id) AS first, count(DISTINCT source) AS several FROM h GROUP BY 1 HAVING count(DISTINCT source) > 1",
     "dup_first_kept": _H + "SELECT doc_id, content_hash, row_number() OVER w = 1 AS kept, CASE WHEN row_number() OVER w > 1 THEN first(doc_id) OVER w END AS duplicate_of FROM h WINDOW w AS (PARTITION BY content_hash ORDER BY doc_id)",

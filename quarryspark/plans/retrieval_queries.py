@@ -76,6 +76,26 @@ def final(spark, root):
     return retrieval.first(retrieval.above(reranked(spark, root), 0.2), 6)
 
 
+def _by_vectors(spark, root, documents):
+    """The whole of it with a list by vectors: those of the documents with the same numbers, asked for by those of the
+    questions' numbers; both lists see the same documents."""
+    q, v = (table(spark, root, "embeddings").select(F.col("vec_id").alias(name), "embedding") for name in ("query_id", "chunk_id"))
+    asked = questions(spark, root)
+    near = retrieval.cosine_topk(asked.join(q, "query_id").select("query_id", F.col("embedding").alias("query")), documents.join(v, "chunk_id").select("chunk_id", F.col("embedding").alias("vector")))
+    pool = retrieval.capped(retrieval.merged(near, retrieval.keyword_topk(asked, documents)), 30)
+    return retrieval.first(retrieval.above(retrieval.reranked_by_idf(pool, asked, documents), 0.2), 6).drop("ord")
+
+
+def hybrid_by_vectors(spark, root):
+    return _by_vectors(spark, root, corpus(spark, root))
+
+
+def hybrid_filtered(spark, root):
+    """English documents only: the filter stands before both lists."""
+    docs = table(spark, root, "documents").where("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), "text")
+    return _by_vectors(spark, root, docs)
+
+
 def multi_query(spark, root):
     """Questions with parts: the items whose numbers agree modulo 7 are parts of one."""
     part_of = questions(spark, root).select("query_id", (F.col("query_id") % 7).alias("question_id"))
@@ -87,6 +107,7 @@ def fused(name):
 
 
 QUERIES = {
+    "hybrid_by_vectors": hybrid_by_vectors, "hybrid_filtered": hybrid_filtered,
     "keyword_or_topk": keyword, "bm25_topk": bm25, "cosine_topk": cosine, "cosine_topk_filtered": cosine_filtered, "cosine_filter_after_topk": cosine_filtered_after,
     "merge_candidates": pool, "cap_pool": capped, "rerank_lexical_idf": reranked, "rerank_passthrough": passthrough, "hybrid_search_final": final, "multi_query_union_max": multi_query,
     "fusion_rrf": fused("rrf"), "fusion_weighted": fused("weighted"), "fusion_rank_normalized": fused("rank_normalized"), "fusion_current_merge": fused("current_merge"),
@@ -125,7 +146,12 @@ WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, e.label, round_eve
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
 SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 20 {after}
 """
+_VEC = ("vec0 AS (SELECT q.vec_id AS query_id, d.chunk_id, round_even(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) + 0.0 AS score FROM d JOIN embeddings e ON e.vec_id = d.chunk_id JOIN embeddings q ON q.vec_id IN (SELECT item_id FROM benchmark)), "
+  "vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vec0) WHERE rank <= 20), ")
+_BY_VECTORS = _BASE.replace("pool AS (SELECT", _VEC + "pool AS (SELECT").replace("bm.score AS vector_score", "vec.score AS vector_score").replace("ORDER BY bm.rank NULLS LAST", "ORDER BY vec.rank NULLS LAST").replace("FROM bm FULL JOIN kw", "FROM vec FULL JOIN kw")
+_FINAL = "SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank) FROM rr WHERE rerank_score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 6"
 ORACLE_SQL = {
+    "hybrid_by_vectors": _BY_VECTORS + _FINAL, "hybrid_filtered": _BY_VECTORS.replace("AS toks FROM documents)", "AS toks FROM documents WHERE lang = 'en')") + _FINAL,
     "keyword_or_topk": _BASE + "SELECT * FROM kw", "bm25_topk": _BASE + "SELECT * FROM bm", "merge_candidates": _BASE + "SELECT * FROM pool", "cap_pool": _BASE + "SELECT * FROM cap",
     "rerank_lexical_idf": _BASE + "SELECT * FROM rr",
     "rerank_passthrough": _BASE + "SELECT query_id, chunk_id, vector_score, keyword_score, coalesce(vector_score, keyword_score, 0) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(vector_score, keyword_score, 0) DESC, ord) AS rank FROM cap",

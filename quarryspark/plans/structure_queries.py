@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import blocks, evaluation, evidence, fusion
+from ..operators import blocks, evaluation, evidence, fusion, hierarchy
 from ..sources.tables import table
 from . import evaluation_queries as eq
 from . import retrieval_queries as rq
+from .corpus_queries import _CLEAN
 
 
 def _blocks(spark, root):
@@ -62,7 +63,30 @@ def embedding_inputs(spark, root):
     return table(spark, root, "pages").select("page_id", F.length(given).alias("n"), F.sha2(given, 256).alias("input_sha256"))
 
 
+def _units(spark, root):
+    titles = table(spark, root, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("Corpus "), "source").alias("title"))
+    return hierarchy.units(_blocks(spark, root), titles)
+
+
+def semantic_units(spark, root):
+    return _units(spark, root).select("document_id", "ord", "node_type", F.array_join("path", " > ").alias("path"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def whole_units(spark, root):
+    return hierarchy.whole_units(_units(spark, root)).select("document_id", "ord", "token_count", F.sha2("content", 256).alias("content_sha256"))
+
+
+def hierarchical_chunks(spark, root):
+    rows = hierarchy.hierarchical_chunks(_units(spark, root))
+    return rows.select("document_id", "chunk_index", "method", "token_count", F.sha2("content", 256).alias("content_sha256"))
+
+
+def hierarchical_tails(spark, root):
+    return hierarchy.tail_merges(hierarchy.hierarchical_chunks(_units(spark, root)))
+
+
 QUERIES = {
+    "semantic_units": semantic_units, "whole_units": whole_units, "hierarchical_chunks": hierarchical_chunks, "hierarchical_tails": hierarchical_tails,
     "markdown_blocks": markdown_blocks, "structure_counts": structure_counts, "content_consistency": content_consistency, "fact_evidence": fact_evidence, "needle_resolution": needle_resolution,
     "fusion_compare_lists": compare_lists, "vector_validation": vector_validation, "embedding_input_hash": embedding_inputs,
 }
@@ -75,7 +99,11 @@ n AS (SELECT *, coalesce(kind <> lag(kind) OVER w OR kind = 'heading' OR indent
 o AS (SELECT *, sum(new) OVER (PARTITION BY document_id ORDER BY pos) AS ord FROM n),
 b AS (SELECT document_id, ord::BIGINT AS ord, any_value(kind) AS node_type, max(level) AS level, any_value(section) AS section, count(*) AS n_lines, string_agg(content, chr(10) ORDER BY pos) AS text FROM o WHERE kind <> 'blank' GROUP BY document_id, ord) """
 _WORDS = r"list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]{{3,}}'))"
+_UNITS = _B + ", un AS (SELECT b.document_id, ord, node_type, b.text, list_filter(['Corpus ' || source, trim(section)], lambda p: coalesce(p, '') <> '') AS path FROM b JOIN documents ON doc_id = b.document_id WHERE node_type <> 'heading') "
 ORACLE_SQL = {
+    "semantic_units": _UNITS + "SELECT document_id, ord, node_type, array_to_string(path, ' > ') AS path, sha256(text) AS text_sha256 FROM un",
+    "whole_units": _UNITS + r", ub AS (SELECT *, regexp_replace(regexp_replace(text, '(?i)sha256:[a-f0-9]{64}', '', 'g'), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS body, CASE WHEN len(path) > 1 THEN array_to_string(path, ' > ') END AS context FROM un), uc AS (SELECT document_id, ord, CASE WHEN context IS NULL OR starts_with(body, context) THEN body ELSE context || chr(10) || chr(10) || body END AS content FROM ub WHERE body <> ''), ud AS (SELECT *, greatest(1, floor(length(content) / 4.0::DOUBLE + 0.999::DOUBLE))::BIGINT AS token_count FROM uc) SELECT document_id, ord, token_count, sha256(content) AS content_sha256 FROM ud WHERE token_count <= 150",
+    "embedding_input_hash": rf"WITH p AS (SELECT page_id, trim(regexp_extract(html, '<title>(.*?)</title>', 1, 's')) AS title, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS seg, trim({_CLEAN}) AS text FROM pages), i AS (SELECT page_id, CASE WHEN title <> '' THEN 'Document: ' || title || chr(10) ELSE '' END || 'Type: Web Page' || CASE WHEN len(seg) > 0 THEN chr(10) || 'Section: ' || array_to_string(seg[-3:], ' > ') ELSE '' END || chr(10) || chr(10) || text AS x FROM p) SELECT page_id, length(x) AS n, sha256(x) AS input_sha256 FROM i",
     "markdown_blocks": _B + "SELECT document_id, ord, node_type, level, section, n_lines, sha256(text) AS text_sha256 FROM b",
     "structure_counts": _B + "SELECT document_id, count(*) FILTER (node_type = 'heading') AS headings, count(*) FILTER (node_type = 'list') AS lists, count(*) FILTER (node_type = 'table') AS tables, count(*) FILTER (node_type = 'paragraph') AS paragraphs, count(*) FILTER (node_type = 'paragraph' AND length(text) >= 400) AS giants, count(*) FILTER (node_type = 'heading') - count(DISTINCT text) FILTER (node_type = 'heading') AS repeated_headings FROM b GROUP BY 1",
     "content_consistency": _B + ", p AS (SELECT document_id, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS text FROM b GROUP BY 1), w AS (SELECT p.document_id, " + _WORDS.format("d.text") + " AS a, " + _WORDS.format("p.text") + " AS b FROM p JOIN documents d ON d.doc_id = p.document_id) SELECT document_id, CASE WHEN len(a) = 0 THEN 1 ELSE round_even(len(list_intersect(a, b))::DOUBLE / len(a), 4) END AS share FROM w",

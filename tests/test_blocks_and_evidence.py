@@ -60,3 +60,33 @@ def test_vector_issues(spark):
     rows = [([1.0, 0.0],), ([1.0],), ([float("nan"), 1.0],), ([2.0, 0.0],)]
     got = [r["i"] for r in spark.createDataFrame(rows, "v array<float>").select(evidence.vector_issues(F.col("v"), 2).alias("i")).collect()]
     assert got[0] == [] and got[1] == ["length"] and "not_finite" in got[2] and got[3] == ["norm"]
+
+
+def test_hierarchical_chunks(spark):
+    """Tables keep their header, long texts break at sentences, long sentences at words, and nothing is lost or too long."""
+    from quarryspark.operators import hierarchy
+
+    table = "\n".join(["| name | value |", *[f"| row{i} | {'v' * 20}{i} |" for i in range(40)]])
+    prose = " ".join(f"Sentence number {i} says something of note." for i in range(60))
+    words = " ".join(f"word{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, f"# Part\n\nshort\n\n{table}\n\n## Next\n\n{prose}\n\n{words}"), (2, "# alone"), (3, None)], "doc_id long, text string")
+    units = hierarchy.units(blocks.markdown_blocks(docs), docs.select(F.col("doc_id").alias("document_id"), F.lit("Title").alias("title")))
+    rows = sorted(hierarchy.hierarchical_chunks(units, 60, 20).collect(), key=lambda r: r["chunk_index"])
+    assert {r["document_id"] for r in rows} == {1} and [r["chunk_index"] for r in rows] == list(range(len(rows)))
+    assert all(r["token_count"] <= 60 for r in rows) and {r["method"] for r in rows} == {"paragraph", "table", "sentence", "hard"}
+    assert rows[0]["content"] == "Title > Part\n\nshort"
+    tables = [r["content"] for r in rows if r["method"] == "table"]
+    assert all(t.startswith("Title > Part\n\n| name | value |\n") for t in tables) and sum(t.count("| row") for t in tables) == 40
+    assert " ".join(r["content"].removeprefix("Title > Next\n\n") for r in rows if r["method"] == "sentence") == prose
+    hard = " ".join(r["content"].replace("Title > Next", "") for r in rows if r["method"] == "hard").split()
+    assert hard == words.split()
+
+
+def test_slack_and_second_pass():
+    from quarryspark.operators import hierarchy
+
+    body = "x" * 200
+    assert [m for m, _ in hierarchy.unit_chunks("paragraph", ["a", "b"], body, 51, 5)] == ["paragraph"]  # 52 tokens, a twentieth over
+    out = hierarchy.document_chunks([("paragraph", ["a", "b"], "yy " * 66)], 50, 5)
+    assert all(len(c) <= 200 for _, _, c in out) and out[0][1] == "hard"  # the second pass cuts what the first let stand
+    assert list(hierarchy.ranges([], lambda k: 0, 5)) == [] and list(hierarchy.ranges([100, 1, 1], lambda k: 0, 5)) == [(0, 1), (1, 3)]
