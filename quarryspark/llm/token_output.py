@@ -161,6 +161,9 @@ class Coder:
         self.loose = re.compile("|".join(loose), re.IGNORECASE) if loose else None
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(read["model"]["end_of_word_suffix"])]] = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         mark = self._ids([MARK])[0]
@@ -178,7 +181,7 @@ class Coder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _latin(self, chunks: list[str], together: int = 1000) -> None:
+    def _latin(self, chunks: list[str], together: int = 200) -> None:
         """Learns chunks in small Latin letters. Pieces hold no white space and leave none of the rest out, so the
         chunks are split side by side, and their lengths say which pieces are whose."""
         pieces = self.split(" ".join(chunks))
@@ -186,12 +189,10 @@ class Coder:
         new = [p for p in place if p not in self.pieces]
         for k in range(0, len(new), together):
             part = new[k : k + together]
-            found = self.model.encode(" ".join(part), add_special_tokens=False)
-            first = np.flatnonzero(np.diff(np.array(found.word_ids), prepend=-1)).tolist()
-            assert len(first) == len(part)
-            raw = np.array(found.ids).astype(self.kind).tobytes()
-            for piece, a, b in zip(part, first, [*first[1:], len(found.ids)], strict=True):
-                self.pieces[piece] = raw[a * self.width : b * self.width]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids)
+            ends = (self.width * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            raw = ids.astype(self.kind).tobytes()
+            self.pieces.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         own = [self.pieces[p] for p in place]
         ids, n = np.frombuffer(b"".join(own), self.kind), np.fromiter(map(len, own), np.int64, len(own)) // self.width
         code = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
