@@ -160,9 +160,10 @@ def links(documents: DataFrame, p: Params, id_col: str = "doc_id", text_col: str
     links (a, b) between reps, a spanning forest of all links: each link between different sets either is an edge or
     its ends are joined by edges.
 
-    Sets that are equal collapse first. A band's bucket that holds more than one set is compared by signatures; the
-    estimates' components are then compared by signatures and confirmed on the full sets. Groups beyond a chunk are
-    dealt out as pairs of chunks, so no task holds an unbounded group, and no task emits more than a forest.
+    Sets that are equal collapse first. A band's bucket that holds more than one set is compared by signatures, and the
+    estimates' components are confirmed on the full sets: each member against the first, and those that do not link with
+    it against all others. Groups beyond a chunk are dealt out as pairs of chunks, so no task holds an unbounded group,
+    and no task emits more than a forest.
     """
     sketch = written(sketches(documents.where(F.col(id_col).isNotNull()), p, id_col, text_col), "sketch")
     sets = written(sketch.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep")), "sets")
@@ -188,26 +189,74 @@ def links(documents: DataFrame, p: Params, id_col: str = "doc_id", text_col: str
     candidates = written(candidates.join(size, "node").select("node", "component", "sig"), "candidates")
     texts = documents.select(F.col(id_col).alias("node"), whole_text(text_col).alias("text")).join(checked_broadcast(candidates, 160), "node")
     texts = written(texts, "texts")
-    sizes = written(texts.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum(F.length("text")) / CHUNK_CHARS)).alias("g")), "sizes")
-    dealt = paired_chunks(texts.join(sizes, "component"), F.xxhash64("node"), F.col("g")).select("component", "i", "j", "own", F.col("node").alias("rep"), "sig", "text")
+    first = _linked_with_first(texts, p, kind)
+    rest = _linked_with_others(texts, first, p, kind)
+    edges = first.where("linked").select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest)
+    return sketch.select("id", "n_shingles").join(member.select("id", "rep").distinct(), "id", "left"), edges
+
+
+def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    if len(s) > len(t):
+        s, t = t, s
+    both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(s) else 0
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
+def _linked_with_first(texts: DataFrame, p: Params, kind: str) -> DataFrame:
+    """(component, node, linked): each member of a candidate component against the component's first, on full sets. A text
+    moves once, and the first's text stands beside it; in a group of near copies this settles all or nearly all."""
+    member = texts.where(F.col("node") != F.col("component")).select("component", "node", "text")
+    first = texts.where(F.col("node") == F.col("component")).groupBy("component").agg(F.min("text").alias("first"))
+    pairs = member.join(first, "component")
+
+    def make():
+        hashes, known = _Hashes(), {}
+
+        def each(batch: pa.RecordBatch) -> dict:
+            if len(hashes) > 1_000_000:
+                hashes.clear()
+            linked = []
+            for c, text, other in zip(batch["component"].to_pylist(), batch["text"].to_pylist(), batch["first"].to_pylist(), strict=True):
+                if c not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    known[c] = shingles(other, p.words, hashes)
+                linked.append(_similar(shingles(text, p.words, hashes), known[c], p.percent))
+            return {"component": batch["component"], "node": batch["node"], "linked": linked}
+
+        return each
 
-    def confirm(key: tuple, rows: list[dict]) -> Iterator[dict]:
+    return written(by_batch(pairs, f"component {kind}, node {kind}, linked boolean", make), "first")
+
+
+def _linked_with_others(texts: DataFrame, first: DataFrame, p: Params, kind: str) -> DataFrame:
+    """Edges (a, b) of the members that do not link with their component's first, and of ids that repeat, whose rows may
+    differ: each of these meets every other member; the first, if it is one row, has met all. Both sides of a component are
+    dealt out in chunks, so that no task holds an unbounded group."""
+    settled = first.groupBy("component", "node").agg(F.min("linked").alias("linked"))
+    n_rows = texts.groupBy("component", "node").agg(F.count("*").alias("n_rows"))
+    state = n_rows.join(settled, ["component", "node"], "left").where("node <> component or n_rows > 1")
+    rows = texts.join(state.select("component", "node", (F.coalesce("linked", F.lit(False)) & (F.col("n_rows") == 1)).alias("linked")), ["component", "node"])
+    size = lambda of: F.greatest(F.ceil(F.count_if(of) / CHUNK_ROWS), F.ceil(F.sum(F.when(of, F.length("text"))) / CHUNK_CHARS)).cast("int")
+    sizes = rows.groupBy("component").agg(size(~F.col("linked")).alias("gl"), size(F.lit(True)).alias("gr"), F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("n_open"))
+    sizes = written(sizes.where("n_open > 0 and n > 1").select("component", "gl", "gr"), "sizes")
+    dealt = rows.join(sizes, "component").withColumn("salt", F.xxhash64("node"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod("salt", F.col(n)).cast("int")
+    left = dealt.where(~F.col("linked")).select("component", own("gl").alias("i"), every("gr").alias("j"), F.lit(0).alias("own"), F.col("node").alias("rep"), "sig", "text")
+    right = dealt.select("component", every("gl").alias("i"), own("gr").alias("j"), F.lit(1).alias("own"), F.col("node").alias("rep"), "sig", "text")
+
+    def confirm(key: tuple, group: list[dict]) -> Iterator[dict]:
         hashes = _Hashes()
-        sets = [shingles(r.pop("text"), p.words, hashes) for r in rows]
-        forest = _Forest(len(rows))
-        for a, b in _close_pairs(rows, most, key[1] != key[2]):
-            if forest.find(a) != forest.find(b):
-                s, t = sets[a], sets[b]
-                if len(s) > len(t):
-                    s, t = t, s
-                both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
-                if 100 * both >= p.percent * (len(s) + len(t) - both):
-                    forest.join(a, b)
-                    if rows[a]["rep"] != rows[b]["rep"]:
-                        yield {"a": rows[a]["rep"], "b": rows[b]["rep"]}
-
-    edges = by_group(dealt, ["component", "i", "j"], f"a {kind}, b {kind}", confirm)
-    return sketch.select("id", "n_shingles").join(member.select("id", "rep").distinct(), "id", "left"), edges
+        sets = [shingles(r.pop("text"), p.words, hashes) for r in group]
+        forest = _Forest(len(group))
+        for a, b in _close_pairs(group, p.most_differing, True):
+            if forest.find(a) != forest.find(b) and _similar(sets[a], sets[b], p.percent):
+                forest.join(a, b)
+                if group[a]["rep"] != group[b]["rep"]:
+                    yield {"a": group[a]["rep"], "b": group[b]["rep"]}
+
+    return by_group(left.union(right), ["component", "i", "j"], f"a {kind}, b {kind}", confirm)
 
 
 def near_duplicates(documents: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -46,6 +46,32 @@ def families():
     return [(int(order[i]), t) for i, (_, t) in enumerate(rows)]
 
 
+def test_repeated_ids_join_the_links_of_their_rows(spark):
+    """An id with several texts is one node, also where it is the first of its group."""
+    r = np.random.default_rng(6)
+    a, b, c = ([f"w{int(i)}" for i in r.integers(0, 5000, 100)] for _ in range(3))
+    near = lambda w: " ".join(["other", *w[1:]])
+    rows = [(1, " ".join(a)), (2, near(a)), (2, " ".join(b)), (3, near(b)), (1, " ".join(c)), (5, near(c)), (6, "alone " * 5), (3, near(b))]
+    got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_dup.Params(3, 85)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 1, 6: 6}
+
+
+def test_clashing_columns_long_texts_and_empty_tables(spark, tmp_path):
+    """Columns named like those within, a very long text, and no rows, for near duplicates, vectors, mixing and the pipeline."""
+    clash = ("node", "component", "sig", "rep", "linked", "kept", "id", "n", "band", "salt")
+    long = " ".join(f"w{k}" for k in range(100_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, None), (3, None)], "doc_id long, text string")
+    for name in clash:
+        docs = docs.withColumn(name, F.lit("x"))
+    assert {(r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert near_dup.kept_documents(docs).columns == docs.columns and near_dup.kept_documents(docs).count() == 3
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<double>").withColumn("rep", F.lit(1)).withColumn("v", F.lit(2)).withColumn("cell", F.lit(3))
+    assert {(r["vec_id"], r["component_id"], r["n_links"]) for r in embedding_dedup.near_vectors(vectors).collect()} == {(1, 1, 1), (2, 1, 1)}
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize(("words", "percent", "chunk"), [(3, 85, 2048), (5, 80, 8)])
 def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, words, percent, chunk):
     monkeypatch.setattr(near_dup, "CHUNK_ROWS", chunk)  # 8: large groups are dealt out as pairs of chunks
