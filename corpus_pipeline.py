@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, mixing to target weights, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
-of documents; the last returns the encoded corpus.
+of documents; the last returns the encoded corpus. Null and empty texts have no letter and go in the first stage; rows that
+repeat a text leave one in the second, rows that repeat an id and differ are worked on each; an empty table passes through
+as empty; further columns are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -27,16 +29,17 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the row with the smallest id stays."""
     return exact_dedup.kept_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more; one document of each group stays."""
+    """Five-word shingles, similarity 0.8 or more; of each group the smallest id stays. Texts without words stay."""
     return near_dup.kept_documents(docs, near_dup.Params(words=5, percent=80))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Four fifths of the tokens, no document twice."""
+    """Four fifths of the tokens, no document twice. Null sources and languages are leaves of their own."""
     levels = {"domain": mixing.domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
     return mixing.mixture(docs, mixing.Params(mixing.TABLE_WEIGHTS, share=(4, 5), epochs=1), levels)
 
