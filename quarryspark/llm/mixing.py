@@ -135,6 +135,7 @@ def mixture(documents: DataFrame, p: Params, levels: dict[str, Column], id_col:
 
 
 def op10_mixing(documents: DataFrame) -> DataFrame:
+    """Every document with its leaf, tokens and copies at the table's weights, as mixed() defines them."""
     return mixed(documents.withColumn("domain", domain_of(F.col("source"))), Params(TABLE_WEIGHTS))
 
 
