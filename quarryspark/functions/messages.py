@@ -29,13 +29,19 @@ ABOUT = (
     r"i\s+\w+\s+to\s+know\s+(?:more\s+)?about", r"(?:please\s+)?(?:can|could|would)\s+you\s+(?:please\s+)?(?:tell|explain)\s+(?:me\s+)?(?:more\s+)?about",
     r"tell\s+me\s+(?:more\s+)?about", r"what\s+(?:can\s+you\s+)?tell\s+me\s+about",
 )
-QUESTION = "who what where when why which how is are was were does do did can could would should".split()
-TOPIC_ENDS = "first instead please then now though".split()
+QUESTION = ("who", "what", "where", "when", "why", "which", "how", "is", "are", "was", "were", "does", "do", "did", "can", "could", "would", "should")
+TOPIC_ENDS = ("first", "instead", "please", "then", "now", "though")
 
 STRIP = r"(?i)^(?:[?!,.\s]+|(?:" + "|".join(FILLERS) + r")[,!.?\s]+)+"
 ABOUT_RE = r"(?i)^(?:" + "|".join(ABOUT) + r")\s+(.+?)\s*$"
-KNOWLEDGE_RE = "(?i)(?:" + "|".join(KNOWLEDGE) + ")"
-PRICE_RE = "(?i)(?:" + "|".join(PRICE) + ")"
+
+
+def any_mark(marks: tuple[str, ...]) -> str:
+    return "(?i)(?:" + "|".join(marks) + ")"
+
+
+KNOWLEDGE_RE = any_mark(KNOWLEDGE)
+PRICE_RE = any_mark(PRICE)
 QUESTION_RE = r"(?i)^(?:please\s+)?(?:also\s+)?(?:and\s+)?(?:" + "|".join(QUESTION) + r")\b"
 
 
@@ -45,18 +51,20 @@ def without_fillers(message: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(filled(message), r"^\s+|\s+$", ""), STRIP, ""), r"\s+$", "")
 
 
-def asks_for_knowledge(message: Column) -> Column:
-    text = without_fillers(message)
-    return (text != "") & (text.rlike(ABOUT_RE) | text.rlike(KNOWLEDGE_RE))
+def asks_for_knowledge(message: Column, marks: tuple[str, ...] = KNOWLEDGE, point: Column | None = None) -> Column:
+    """Whether a message asks to be told something, by the caller's marks. `point` is without_fillers(message), where a
+    caller has it as a column already."""
+    text = without_fillers(message) if point is None else point
+    return (text != "") & (text.rlike(ABOUT_RE) | text.rlike(any_mark(marks)))
 
 
-def asks_for_price(message: Column) -> Column:
-    return without_fillers(message).rlike(PRICE_RE)
+def asks_for_price(message: Column, marks: tuple[str, ...] = PRICE, point: Column | None = None) -> Column:
+    return (without_fillers(message) if point is None else point).rlike(any_mark(marks))
 
 
-def is_informational(message: Column) -> Column:
-    text = without_fillers(message)
-    return asks_for_knowledge(message) | text.rlike(QUESTION_RE)
+def is_informational(message: Column, marks: tuple[str, ...] = KNOWLEDGE, point: Column | None = None) -> Column:
+    text = without_fillers(message) if point is None else point
+    return asks_for_knowledge(message, marks, text) | text.rlike(QUESTION_RE)
 
 
 def canonical_question(message: Column) -> Column:

@@ -9,8 +9,9 @@ ALNUM = "[a-z0-9]+"
 
 #: Words that carry no weight in a query.
 STOP_WORDS = (
-    "a about an and are can could does for hello hey hi how i in is just know like me my of on or please tell the to u us want we what would you"
-).split()
+    "a", "about", "an", "and", "are", "can", "could", "does", "for", "hello", "hey", "hi", "how", "i", "in", "is", "just", "know", "like", "me",
+    "my", "of", "on", "or", "please", "tell", "the", "to", "u", "us", "want", "we", "what", "would", "you",
+)
 
 #: Terms that stand for one another.
 SYNONYMS = {"price": ("mrp", "cost"), "cost": ("mrp", "price"), "mrp": ("price", "cost")}

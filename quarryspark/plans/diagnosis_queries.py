@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..operators import corpus, diagnosis, evaluation
 from ..sources.tables import table
 from .evaluation_queries import _E, _expected, _hits

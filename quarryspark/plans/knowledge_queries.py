@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls
-from ..operators import blocks, corpus, knowledge
+from ..operators import corpus, knowledge
 from ..sources import store
 from ..sources.tables import table
-from .corpus_queries import _U, _docs, _hashed, _urls, dup_content_hash, dup_cross_source, dup_query_param, dup_url_alias
+from .corpus_queries import _U, _docs, _hashed, dup_content_hash, dup_cross_source, dup_query_param, dup_url_alias
 from .structure_queries import _B, _blocks
 
 

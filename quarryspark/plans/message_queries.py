@@ -9,9 +9,10 @@ from ..sources.tables import table
 
 
 def message_intents(spark, root):
-    t = F.col("text")
-    rows = table(spark, root, "conversations")
-    return rows.select("conv_id", "turn", F.sha2(ms.without_fillers(t), 256).alias("point_sha256"), ms.asks_for_knowledge(t).alias("knowledge"), ms.asks_for_price(t).alias("price"), ms.is_informational(t).alias("informational"))
+    """The point of a message is a column of its own, so its long pattern runs once a row."""
+    t, p = F.col("text"), F.col("point")
+    rows = table(spark, root, "conversations").withColumn("point", ms.without_fillers(t))
+    return rows.select("conv_id", "turn", F.sha2("point", 256).alias("point_sha256"), ms.asks_for_knowledge(t, point=p).alias("knowledge"), ms.asks_for_price(t, point=p).alias("price"), ms.is_informational(t, point=p).alias("informational"))
 
 
 def canonical_questions(spark, root):
