@@ -231,3 +231,25 @@ def test_language_on_held_out_rows(spark):
     assert {got[i][0]["lang_pred"] for i in (900, 901, 902)} == {"und"}
     assert all(got[i][0]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
     assert {r["lang_pred"] for r in language_id.op7_language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_text_operators_on_clashing_columns_long_texts_and_empty_tables(spark):
+    long = "ab cd " * 100_000 + "MIT License"
+    docs = spark.createDataFrame([(1, long, "en"), (2, None, "en"), (2, None, "en"), (3, "", None)], "doc_id long, text string, lang string")
+    for name in ("id", "kept", "ids", "base", "spans", "score", "key", "shard", "n", "chunk", "words", "labels"):
+        docs = docs.withColumn(name, F.lit("x"))
+    runs = {
+        "bpe": byte_bpe.op2_byte_bpe, "secrets": secrets.op3_secret_scan, "tokens": token_output.op4_token_output, "licenses": licenses.op5_license_scan, "languages": language_id.op7_language_id,
+        "toxicity": lambda d: toxicity.op6_toxicity(d, spark.createDataFrame([(1, 0, "y"), (3, 1, "y")], "doc_id long, toxic int, y string")),
+    }
+    for name, run in runs.items():
+        assert sorted(r["doc_id"] for r in run(docs).collect()) == [1, 2, 2, 3], name
+        assert run(docs.limit(0)).count() == 0, name
+    assert by_id(licenses.op5_license_scan(docs))[1][0]["labels"].split(",")[0] == "mit"
+
+
+def test_language_ties_go_to_the_first_by_name(spark):
+    docs = spark.createDataFrame([(k, "same words in both", lang) for k, lang in enumerate(["bb", "aa"] * 40)], "doc_id long, text string, lang string")
+    learned = docs.union(docs.selectExpr("doc_id + 1000", "text", "if(lang = 'aa', 'bb', 'aa')"))
+    found = language_id.predict(docs, language_id.fit(learned))
+    assert {r["lang_pred"] for r in found.collect()} == {"aa"}
