@@ -200,3 +200,23 @@ def extraction_quality(pages: Column, characters: Column, words: Column, blocks:
     poor = (chars < 150) | ((image_share >= 0.10) & (chars < 300)) | ((image_share >= 0.25) & (own < 20))
     none = (pages == 0) | (characters == 0)
     return F.struct(F.when(pages == 0, 0.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 4)).alias("score"), F.coalesce(none | poor, F.lit(True)).alias("poor"))
+
+
+def extraction_issues(text: Column, n_units: Column, least: int = 40, garbage: float = 0.15, **ids: Column) -> Column:
+    """What is wrong with an extracted document: no units, no or little text, hardly a letter in it, or missing ids."""
+    own = _stripped(text)
+    letters = F.regexp_count(own, F.lit(r"\p{L}")) / F.greatest(F.length(own), F.lit(1))
+    rules = [(n_units == 0, "empty_extraction"), (own == "", "empty_text"), ((own != "") & (F.length(own) < least), "below_min_text_threshold"), ((letters < garbage) & (F.length(own) > 20), "excessive_garbage")]
+    rules += [(tx.filled(c.cast("string")) == "", f"missing_{name}") for name, c in ids.items()] + [((n_units > 0) & (own == ""), "structure_missing")]
+    return F.array_compact(F.array(*[F.when(holds, F.lit(name)) for holds, name in rules]))
+
+
+def chunk_problems(chunks: DataFrame, most: int = 512) -> DataFrame:
+    """(category, severity, n): empty and oversized chunks, ids that several chunks have, and contents that repeat within
+    a document, counted. chunks: (chunk_id, document_id, content, token_count, method)."""
+    over = (F.col("token_count") > most) & (F.col("method") != "hard")
+    own = chunks.agg(F.count_if(_stripped(F.col("content")) == "").alias("empty_content"), F.count_if(F.col("token_count") <= 0).alias("invalid_token_count"), F.count_if(over).alias("token_limit_exceeded"))
+    own = own.select(F.explode(F.create_map(*[x for c in own.columns for x in (F.lit(c), F.col(c))])).alias("category", "n")).select("category", F.lit("P1").alias("severity"), "n")
+    again = lambda name, severity, *keys: chunks.groupBy(*keys).agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("n")).select(F.lit(name).alias("category"), F.lit(severity).alias("severity"), "n")
+    content = F.sha2("content", 256).alias("content_hash")
+    return own.union(again("duplicate_chunk_id", "P0", "chunk_id")).union(again("duplicate_content", "P2", "document_id", content))

@@ -124,6 +124,17 @@ def light_cause(status: Column, chunk_rank: Column, chunk_score: Column, documen
     )
 
 
+def unified_cause(answerable: Column, n_expected: Column, chunk_rank: Column, document_rank: Column, largest_sibling: Column, rival: Column, summary: Column) -> Column:
+    """Why a question fails within ten hits, null if it passes: `largest_sibling` is the token count of the largest hit
+    among the first ten that is of an expected document but not expected, `rival` whether one of them is of another
+    document, `summary` whether only a summary could answer."""
+    sibling = F.when(n_expected > 3, "CHUNK_FRAGMENTATION").when(largest_sibling < 40, "CHUNK_GRANULARITY").otherwise("EXPECTED_DOCUMENT_WRONG_CHUNK")
+    return (
+        F.when(chunk_rank <= 10, None).when(~answerable, "CORPUS_GAP").when(n_expected == 0, "EVALUATION_MAPPING").when(summary & (chunk_rank > 10), "SUMMARY_MISSING").when(document_rank.isNull(), "CORPUS_GAP")
+        .when(largest_sibling.isNotNull(), sibling).when(document_rank <= 100, F.when(rival, "RETRIEVAL_COMPETITION").otherwise("EMBEDDING_REPRESENTATION")).otherwise("UNRESOLVED")
+    )
+
+
 #: The failure that each layer answers for.
 LAYERS = {
     "guardrail": "GUARDRAIL_FAILURE", "router": "ROUTER_FAILURE", "query_rewrite": "QUERY_REWRITE_FAILURE", "retrieval": "RETRIEVAL_FAILURE", "reranker": "RERANKER_FAILURE", "generation": "GENERATION_FAILURE",

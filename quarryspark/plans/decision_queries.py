@@ -110,7 +110,19 @@ def extraction_quality(spark, root):
     return sums.select("source", "pages", decisions.extraction_quality(F.col("pages"), F.col("c"), F.col("w"), F.col("b"), F.lit(0.0)).alias("q")).select("source", "pages", "q.score", "q.poor")
 
 
+def extraction_issues(spark, root):
+    docs = table(spark, root, "documents")
+    n = F.size(F.filter(F.split(tx.filled(F.col("text")), "\n"), lambda s: s != ""))
+    return docs.select("doc_id", F.explode(decisions.extraction_issues(F.col("text"), n, document_id=F.col("doc_id"), file_hash=F.col("source"))).alias("issue"))
+
+
+def chunk_problems(spark, root):
+    rows = _chunks(spark, root).withColumn("method", F.when(F.col("chunk_index") % 5 == 0, "hard").otherwise("line"))
+    return decisions.chunk_problems(rows, 100)
+
+
 QUERIES = {
+    "extraction_issues": extraction_issues, "chunk_problems": chunk_problems,
     "page_policy": page_policy, "document_types": document_types, "validated_documents": validated_documents, "exclusion_integrity": exclusion_integrity, "low_value_documents": low_value_documents,
     "ocr_lines": ocr_lines, "ocr_grades": ocr_grades, "review_decisions": review_decisions, "chunk_issues": chunk_issues, "chunk_quality_gate": chunk_quality_gate, "chunk_set_issues": chunk_set_issues,
     "embed_rejections": embed_rejections, "extraction_quality": extraction_quality,
@@ -125,6 +137,8 @@ _N = r"length(regexp_replace(coalesce({}, ''), '[^\p{{L}}\p{{N}}_]', '', 'g'))"
 _WORDS = r"len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\f\v]+'), lambda w: w <> ''))"
 _ROWS = "WITH l AS (SELECT doc_id AS document_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS content FROM documents), c AS (SELECT *, " + _EST.format("content") + r" AS token_count, regexp_replace(content, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS own FROM l), i AS (SELECT *, list_filter([CASE WHEN own = '' THEN 'empty_content' END, CASE WHEN token_count <= 0 THEN 'invalid_token_count' END, CASE WHEN token_count > 512 THEN 'token_limit_exceeded' END, CASE WHEN document_id IS NULL THEN 'missing_document_id' END, CASE WHEN coalesce(source, '') = '' THEN 'missing_source_file_hash' END, CASE WHEN contains(lower(content), 'embedding_version:') THEN 'forbidden_metadata_leakage' END, CASE WHEN contains(lower(content), 'chunk_id:') THEN 'forbidden_metadata_leakage' END, CASE WHEN contains(lower(content), 'document_version:') THEN 'forbidden_metadata_leakage' END, CASE WHEN own = '' OR (length(own) < 4 AND NOT regexp_matches(own, '[a-zA-Z0-9]')) OR (length(own) > 20 AND length(regexp_replace(own, '[^\\p{L}]', '', 'g'))::DOUBLE / length(own) < 0.15) THEN 'ocr_garbage' END, CASE WHEN length(own) < 120 AND regexp_matches(lower(own), 'page |you may also like|add to cart|write a review|sort by') THEN 'ui_debris' END], lambda x: x IS NOT NULL) AS issues FROM c) ".replace("\\\\p", "\\p")
 ORACLE_SQL = {
+    "extraction_issues": r"WITH t AS (SELECT doc_id, source, regexp_replace(coalesce(text, ''), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS own, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '')) AS n FROM documents) SELECT doc_id, unnest(list_filter([CASE WHEN n = 0 THEN 'empty_extraction' END, CASE WHEN own = '' THEN 'empty_text' END, CASE WHEN own <> '' AND length(own) < 40 THEN 'below_min_text_threshold' END, CASE WHEN length(own) > 20 AND length(regexp_replace(own, '[^\p{L}]', '', 'g'))::DOUBLE / length(own) < 0.15 THEN 'excessive_garbage' END, CASE WHEN doc_id IS NULL THEN 'missing_document_id' END, CASE WHEN coalesce(source, '') = '' THEN 'missing_file_hash' END, CASE WHEN n > 0 AND own = '' THEN 'structure_missing' END], lambda x: x IS NOT NULL)) AS issue FROM t",
+    "chunk_problems": _ROWS.replace("AS content FROM documents)", "AS content, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents)") + "SELECT 'empty_content' AS category, 'P1' AS severity, count(*) FILTER (own = '') AS n FROM c UNION ALL SELECT 'invalid_token_count', 'P1', count(*) FILTER (token_count <= 0) FROM c UNION ALL SELECT 'token_limit_exceeded', 'P1', count(*) FILTER (token_count > 100 AND pos % 5 <> 0) FROM c UNION ALL SELECT 'duplicate_chunk_id', 'P0', (SELECT count(*) - count(DISTINCT (document_id, pos)) FROM c) UNION ALL SELECT 'duplicate_content', 'P2', (SELECT count(*) - count(DISTINCT (document_id, content)) FROM c)",
     "page_policy": _P + "SELECT page_id, policy, reason FROM x",
     "document_types": _P + r"""SELECT page_id, CASE WHEN contains(lower(url), '/products/') THEN 'product' WHEN (contains(lower(url), '/pages/') AND regexp_matches(lower(url), 'terms|privacy|return|warranty|policy|shipping|refund')) OR regexp_matches(lower(title), 'terms & conditions|privacy policy|return|warranty') THEN 'policy'
       WHEN regexp_matches(lower(title), 'faq|frequently asked') OR len(list_filter(headings, lambda h: regexp_matches(lower(h), 'faq|frequently asked'))) > 0 OR contains(lower(url), 'faq') THEN 'faq' WHEN contains(lower(url), '/blog/') OR contains(lower(title), 'blog') THEN 'blog'

@@ -102,6 +102,16 @@ def light_causes(spark, root):
     return _ranks(spark, root).select("query_id", cause.alias("x")).select("query_id", "x.cause", "x.confidence")
 
 
+def unified_causes(spark, root):
+    """A vector's size is its number's last two digits; the siblings are the other vectors of its document."""
+    i = F.col("query_id")
+    first = _documents(spark, root, 10)
+    sibling = first.where((F.col("document_id") == F.floor(i / 10)) & (F.col("chunk_id") % 2 == 0)).groupBy("query_id").agg(F.max(F.col("chunk_id") % 100).alias("largest"))
+    rows = _ranks(spark, root).join(sibling, "query_id", "left")
+    cause = diagnosis.unified_cause(i % 7 != 0, F.when(i % 3 == 0, 5).when(i % 11 == 0, 0).otherwise(1), F.col("c"), F.col("d"), F.col("largest"), i % 4 == 0, i % 9 == 0)
+    return rows.select("query_id", cause.alias("cause"))
+
+
 def _failures(spark, root):
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.when(k % 5 == 0, "RETRIEVAL_FAILURE").when(k % 5 == 1, "TOOL_FAILURE").when(k % 5 == 2, "STATE_FAILURE").otherwise("UNLISTED_FAILURE")
@@ -140,7 +150,7 @@ def regression_checks(spark, root):
 QUERIES = {
     "eval_recall_of_all": recall_of_all, "eval_list_metrics": list_metrics, "eval_document_analysis": document_analysis, "eval_document_ranks": document_ranks, "document_texts": document_texts,
     "eval_missing_expected": missing_expected, "eval_mapping_state": mapping_state, "competitor_classes": competitor_classes, "targeted_diagnosis": targeted_diagnosis, "vector_causes": vector_causes,
-    "light_causes": light_causes, "layer_failures": layer_failures, "failure_representatives": failure_representatives, "conversation_behaviour": conversation_behaviour,
+    "light_causes": light_causes, "unified_causes": unified_causes, "layer_failures": layer_failures, "failure_representatives": failure_representatives, "conversation_behaviour": conversation_behaviour,
     "candidates_by_category": candidates_by_category, "regression_checks": regression_checks,
 }
 
@@ -160,6 +170,7 @@ ORACLE_SQL = {
     "targeted_diagnosis": _E + _NEAR + ", c AS (SELECT query_id, min(rank) AS c FROM h JOIN near USING (query_id, chunk_id) WHERE rank <= 20 GROUP BY 1), d AS (SELECT query_id, min(rank) AS d FROM h WHERE rank <= 20 AND chunk_id // 10 = query_id // 10 GROUP BY 1) SELECT q.query_id, CASE WHEN q.query_id % 3 = 0 THEN 'EXPECTED_CHUNK_NOT_FOUND' WHEN c <= 10 THEN 'DOCUMENT_AND_CHUNK_RETRIEVED' WHEN d <= 20 THEN 'DOCUMENT_RETRIEVED_CHUNK_MISSED' ELSE 'DOCUMENT_NOT_RETRIEVED' END AS diagnosis FROM q LEFT JOIN c USING (query_id) LEFT JOIN d USING (query_id)",
     "vector_causes": _RANKS + "SELECT i AS query_id, CASE WHEN i % 7 = 0 THEN 'CORPUS_GAP' WHEN c <= 10 THEN NULL WHEN i % 5 <> 0 AND i % 2 <> 0 THEN 'EVALUATION_MAPPING' WHEN d IS NULL THEN CASE WHEN i % 100 = 0 THEN 'QUERY_MISMATCH' ELSE 'CORPUS_GAP' END WHEN d <= 10 THEN 'EXPECTED_DOCUMENT_WRONG_CHUNK' WHEN i % 3 = 0 THEN 'RETRIEVAL_COMPETITION' ELSE 'EMBEDDING_REPRESENTATION' END AS cause FROM z",
     "light_causes": _RANKS + ", v AS (SELECT i, CASE WHEN i % 11 = 0 THEN 1 WHEN i % 13 = 0 THEN 2 WHEN c <= 10 THEN 3 WHEN d <= 10 THEN 4 WHEN c BETWEEN 11 AND 30 AND cs >= tenth - 0.015::DOUBLE THEN 5 WHEN i % 4 = 0 AND c IS NULL THEN 6 WHEN d <= 20 AND NOT coalesce(c <= 20, false) THEN 7 WHEN c IS NULL AND d IS NULL THEN 8 ELSE 9 END AS k FROM z) SELECT i AS query_id, ['CORPUS_GAP', 'EVALUATION_MAPPING', 'UNRESOLVED', 'CHUNKING', 'RETRIEVAL_COMPETITION', 'QUERY_MISMATCH', 'CHUNKING', 'UNRESOLVED', 'UNRESOLVED'][k] AS cause, [0.95, 0.9, 0.9, 0.9, 0.85, 0.7, 0.8, 0.55, 0.5][k]::DOUBLE AS confidence FROM v",
+    "unified_causes": _RANKS + ", sb AS (SELECT query_id AS i, max(chunk_id % 100) AS l FROM h WHERE rank <= 10 AND chunk_id // 10 = query_id // 10 AND chunk_id % 2 = 0 GROUP BY 1), y AS (SELECT z.*, l FROM z LEFT JOIN sb USING (i)) SELECT i AS query_id, CASE WHEN c <= 10 THEN NULL WHEN i % 7 = 0 THEN 'CORPUS_GAP' WHEN i % 3 <> 0 AND i % 11 = 0 THEN 'EVALUATION_MAPPING' WHEN i % 9 = 0 AND c > 10 THEN 'SUMMARY_MISSING' WHEN d IS NULL THEN 'CORPUS_GAP' WHEN l IS NOT NULL THEN CASE WHEN i % 3 = 0 THEN 'CHUNK_FRAGMENTATION' WHEN l < 40 THEN 'CHUNK_GRANULARITY' ELSE 'EXPECTED_DOCUMENT_WRONG_CHUNK' END WHEN d <= 100 THEN CASE WHEN i % 4 = 0 THEN 'RETRIEVAL_COMPETITION' ELSE 'EMBEDDING_REPRESENTATION' END ELSE 'UNRESOLVED' END AS cause FROM y",
     "layer_failures": _F + f"SELECT layer, CASE layer WHEN 'retrieval' THEN (SELECT count(*) FROM f WHERE gravity = 60) WHEN 'tools' THEN (SELECT count(*) FROM f WHERE gravity = 85) WHEN 'state' THEN (SELECT count(*) FROM f WHERE gravity = 75) ELSE 0 END AS failures FROM (SELECT unnest({_LAYERS}) AS layer)",
     "failure_representatives": _F + ", g AS (SELECT event_type, conversation_id, gravity, product FROM f QUALIFY row_number() OVER (PARTITION BY event_type, conversation_id ORDER BY gravity DESC, product) = 1), a AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY gravity DESC, conversation_id) AS pos FROM g), n AS (SELECT *, row_number() OVER (PARTITION BY event_type, product ORDER BY pos) AS nth FROM a) SELECT event_type, conversation_id, product, row_number() OVER (PARTITION BY event_type ORDER BY CASE WHEN pos <= 3 THEN 0 WHEN nth = 1 THEN 1 ELSE 2 END, pos) AS place FROM n QUALIFY place <= 5",
     "conversation_behaviour": "WITH n AS (SELECT conv_id, count(*) FILTER (role = 'assistant') AS r, length(arg_min(text, turn)) AS o, count(*) FILTER (contains(lower(text), 'the')) AS s FROM conversations GROUP BY 1) SELECT sum(r)::BIGINT AS rag_turns, count(*) FILTER (o >= 400) AS lead_conversations, count(*) FILTER (o < 100) AS support_conversations, count(*) FILTER (s > 0) AS product_switch_conversations FROM n",
