@@ -204,10 +204,14 @@ def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 
 def _linked_with_first(texts: DataFrame, p: Params, kind: str) -> DataFrame:
     """(component, node, linked): each member of a candidate component against the component's first, on full sets. A text
-    moves once, and the first's text stands beside it; in a group of near copies this settles all or nearly all."""
+    moves once, and the first's text stands beside it; in a group of near copies this settles all or nearly all. A large
+    component is dealt out by salt, a chunk of members with a copy of the first each, so it is in no one task."""
     member = texts.where(F.col("node") != F.col("component")).select("component", "node", "text")
     first = texts.where(F.col("node") == F.col("component")).groupBy("component").agg(F.min("text").alias("first"))
-    pairs = member.join(first, "component")
+    sizes = checked_broadcast(written(member.groupBy("component").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("g")), "groups"), 24)
+    salted = member.join(sizes, "component").select("component", "node", "text", F.pmod(F.xxhash64("node"), F.col("g")).cast("int").alias("salt"))
+    copies = first.join(sizes, "component").select("component", "first", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("salt"))
+    pairs = salted.join(copies, ["component", "salt"])
 
     def make():
         hashes, known = _Hashes(), {}
