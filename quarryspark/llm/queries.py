@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, exact_dedup, language_id, licenses, mixing, near_dup, secrets, token_output, toxicity
+from . import byte_bpe, clustering, collocations, embedding_dedup, exact_dedup, language_id, licenses, mixing, near_dup, quality, secrets, token_output, toxicity
 from .shared import table
 
 
@@ -25,8 +25,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": _on(near_dup.op8_minhash, "documents"),
     "op9_embedding_dedup": _on(embedding_dedup.op9_embedding_dedup, "embeddings"),
     "op10_mixing": _on(mixing.op10_mixing, "documents"),
+    "op11_quality": _on(quality.op11_quality, "documents", "labels"),
+    "op12_collocations": _on(collocations.op12_collocations, "documents"),
+    "op13_clustering": _on(clustering.op13_clustering, "embeddings"),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE, "op5_license_scan": licenses.ORACLE, "op8_minhash": near_dup.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE, "op10_mixing": mixing.ORACLE,
+    "op12_collocations": collocations.ORACLE, "op13_clustering": clustering.ORACLE,
 }

@@ -40,6 +40,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes an intermediate table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Python workers get ROWS_PER_BATCH rows at a time, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
