@@ -4,6 +4,10 @@ A task gathers the words of its documents by language into shards. Over a shard,
 reversed ids are built; from the whole interval on, every interval of a phrase is extended to the left by all of its words
 at once, and its interval of the reversed index is kept in step, so that the words before and after each phrase are
 read from the two BWTs. Phrases are enumerated to a fixed depth with their counts; the counts are summed over shards.
+
+Most phrases are too rare to be candidates, but no shard knows which. A first pass counts hashes of phrases in a table of
+fixed size; a phrase in a slot whose sum is too small can't be frequent, so its interval isn't extended nor emitted. Slots
+that phrases share only let more through, so the result is exact whatever the table's size.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +43,8 @@ class Params:
     percent: int = 50
     #: Phrases returned of each language.
     top: int = 2000
+    #: The first pass has 2 ** slots slots: a byte each in a task, a bit each in what is sent to the tasks.
+    slots: int = 26
 
 
 class Ids(dict):
@@ -103,12 +110,33 @@ class Phrases:
     right: np.ndarray
 
 
-def phrases(t: np.ndarray, depth: int) -> Iterator[Phrases]:
-    """The phrases of 1 to `depth` words of a sequence of ids in which 0 is a break, level by level."""
+class Slots:
+    """Hashes of phrases: that of a word and the phrase behind it is made of theirs."""
+
+    def __init__(self, lang: str, ids: Ids, bits: int):
+        own = xxhash.xxh3_64_intdigest(lang.encode())
+        self.words = np.array([xxhash.xxh3_64_intdigest(w, own) for w in ids], np.uint64)
+        self.shift = np.uint64(64 - bits)
+
+    def joined(self, word: np.ndarray, rest: np.ndarray | None) -> np.ndarray:
+        h = self.words[word]
+        if rest is not None:
+            h = (h ^ (rest * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03))) * np.uint64(0xFF51AFD7ED558CCD)
+            h ^= h >> np.uint64(31)
+        return h
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return (h >> self.shift).astype(np.int64)
+
+
+def phrases(t: np.ndarray, depth: int, slots: Slots | None = None, frequent: np.ndarray | None = None) -> Iterator[Phrases]:
+    """The phrases of 1 to `depth` words of a sequence of ids in which 0 is a break, level by level. Phrases of two words or
+    more whose slot is not set in the bits `frequent` are left out, as are those that end in one."""
     index, back = Bwt(t, depth), Bwt(t[::-1], depth)
+    hashes = None
     label = np.zeros(len(t), np.int64)  # the interval of the level that each place is in, or -1
     r_start = np.zeros(1, np.int64)  # the start of each interval's reversed phrase in the other index
-    for _ in range(depth):
+    for level in range(depth):
         rest = np.empty_like(label)
         rest[index.step] = label  # every interval extended by every symbol before it
         live = (index.first > 0) & (rest >= 0)
@@ -117,6 +145,8 @@ def phrases(t: np.ndarray, depth: int) -> Iterator[Phrases]:
         run = np.cumsum(new) - 1
         count = np.bincount(run[live], minlength=len(start)).astype(np.int64)
         word, parent = index.first[start], rest[start]
+        if slots:
+            hashes = slots.joined(word, None if hashes is None else hashes[parent])
         breaks = np.bincount(label[(label >= 0) & (index.last == 0)], minlength=len(r_start))
         order = np.lexsort((word, parent))  # in the reversed index, an interval's extensions follow each other by symbol
         before = np.cumsum(count[order]) - count[order]
@@ -126,11 +156,19 @@ def phrases(t: np.ndarray, depth: int) -> Iterator[Phrases]:
         begin[order] = r_start[parent[order]] + breaks[parent[order]] + before
         left = index.words_before[start + count] - index.words_before[start]
         right = back.words_before[begin + count] - back.words_before[begin]
-        yield Phrases(word, parent, count, left, right)
-        label, r_start = np.where(live, run, -1), begin
-
-
-def _mined(lang: str, ids: Ids, parts: list[np.ndarray], depth: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        kept = np.arange(len(start))
+        if slots and level:
+            at = slots.of(hashes)
+            kept = np.flatnonzero(frequent[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            hashes = hashes[kept]
+        yield Phrases(word[kept], parent[kept], count[kept], left[kept], right[kept])
+        place = np.full(len(start) + 1, -1, np.int64)
+        place[kept] = np.arange(len(kept))
+        label, r_start = place[np.where(live, run, len(start))], begin[kept]
+
+
+def _mined(lang: str, ids: Ids, parts: list[np.ndarray], p: Params, frequent: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of a shard: the empty phrase with the number of words, and the phrases that may be frequent."""
     t = np.concatenate(parts)
     names = pa.array(list(ids), pa.binary()).cast(pa.string())
 
@@ -142,37 +180,86 @@ def _mined(lang: str, ids: Ids, parts: list[np.ndarray], depth: int, schema: pa.
     none = np.zeros(1, np.int64)
     yield from rows(pa.array([""]), np.array([np.count_nonzero(t)]), none, none)
     before = None
-    for level in phrases(t, depth):
+    for level in phrases(t, p.words, Slots(lang, ids, p.slots), frequent):
         word = names.take(pa.array(level.word))
         before = word if before is None else pc.binary_join_element_wise(word, before.take(pa.array(level.rest)), " ")
         yield from rows(before, level.count, level.left, level.right)
 
 
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Ids, list[np.ndarray]]]:
+    """A task's texts as shards of one language each. Once they hold SHARD_WORDS words together, the largest goes."""
+    shards: dict[str, tuple[Ids, list[np.ndarray]]] = {}
+    held: dict[str, int] = {}
+    for batch in batches:
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            ids, parts = shards.setdefault(lang, (Ids(), []))
+            parts.append(word_ids(text, ids))
+            held[lang] = held.get(lang, 0) + len(parts[-1])
+            if sum(held.values()) >= SHARD_WORDS:
+                lang = max(held, key=held.__getitem__)
+                held.pop(lang)
+                yield lang, *shards.pop(lang)
+    while shards:
+        lang = next(iter(shards))
+        yield lang, *shards.pop(lang)
+
+
+def _may_be_frequent(texts: DataFrame, p: Params) -> np.ndarray:
+    """A bit for each slot: whether the phrases of two words or more in it occur p.least times together. A task counts in
+    one byte a slot, up to p.least, as no more matters for the sum; what leaves it are blocks of slots, which are summed
+    by block. The driver sees the bits alone."""
+    size, most = min(1 << p.slots, 1 << 16), min(255, p.least)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << p.slots, np.uint8)
+        for lang, ids, parts in _shards(batches):
+            t, slots = np.concatenate(parts), Slots(lang, ids, p.slots)
+            inside, h, found = t > 0, slots.joined(t, None), []
+            for _ in range(p.words - 1):
+                inside = inside[:-1] & (t[: len(inside) - 1] > 0) & inside[1:]
+                h = slots.joined(t[: len(h) - 1], h[1:])
+                found.append(slots.of(h[inside]))
+            own, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
+            table[own] = np.minimum(table[own] + n, most)
+        blocks = table.reshape(-1, size)
+        for k in np.flatnonzero(blocks.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blocks[k].tobytes()], pa.binary())], names=["block", "n"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, np.zeros(size, np.int64)
+        bits = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(held >= p.least).tobytes()], pa.binary())], names=["block", "n"])
+        for batch in batches:
+            for block, n in zip(batch["block"].to_pylist(), batch["n"].to_pylist(), strict=True):
+                if block != at:
+                    if at is not None:
+                        yield bits()
+                    at, held = block, np.zeros(size, np.int64)
+                held += np.frombuffer(n, np.uint8)
+        if at is not None:
+            yield bits()
+
+    sums = texts.mapInArrow(count, "block int, n binary").repartition("block").sortWithinPartitions("block").mapInArrow(total, "block int, n binary")
+    out = np.zeros((1 << p.slots) // 8, np.uint8) if p.least > 0 else np.full((1 << p.slots) // 8, 255, np.uint8)
+    for r in sums.collect():
+        out[r["block"] * size // 8 : (r["block"] + 1) * size // 8] = np.frombuffer(r["n"], np.uint8)
+    return out
+
+
 def phrase_counts(documents: DataFrame, p: Params = Params(), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, phrase, a, left_words, right_words): for each language the phrases of up to p.words words that occur p.least
-    times or more, their occurrences, and how many of these have a word before and after them in their piece; the empty
-    phrase has the number of all words. Null languages are `und`; null texts are empty; repeated rows count each; an
-    empty table gives no row. A shard emits a phrase once, so no key is hot. The result is a written table."""
-    depth, arrow = p.words, arrow_schema(documents.sparkSession, (ddl := "lang string, phrase string, a long, left_words long, right_words long"))
-    bounded_batches(documents.sparkSession)
+    times or more (255 at most), their occurrences, and how many of these have a word before and after them in their piece;
+    the empty phrase has the number of all words. Null languages are `und`; null texts are empty; repeated rows count
+    each; an empty table gives no row. A shard emits a phrase once, so no key is hot. The result is a written table."""
+    spark, ddl = documents.sparkSession, "lang string, phrase string, a long, left_words long, right_words long"
+    arrow = arrow_schema(spark, ddl)
+    bounded_batches(spark)
+    texts = documents.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    frequent = spark.sparkContext.broadcast(_may_be_frequent(texts, p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards: dict[str, tuple[Ids, list[np.ndarray]]] = {}
-        held: dict[str, int] = {}
-        for batch in batches:
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids, parts = shards.setdefault(lang, (Ids(), []))
-                parts.append(word_ids(text, ids))
-                held[lang] = held.get(lang, 0) + len(parts[-1])
-                if sum(held.values()) >= SHARD_WORDS:
-                    lang = max(held, key=held.__getitem__)
-                    held.pop(lang)
-                    yield from _mined(lang, *shards.pop(lang), depth, arrow)
-        while shards:
-            lang = next(iter(shards))
-            yield from _mined(lang, *shards.pop(lang), depth, arrow)
+        for lang, ids, parts in _shards(batches):
+            yield from _mined(lang, ids, parts, p, frequent.value, arrow)
 
-    texts = documents.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sums = texts.mapInArrow(run, ddl).groupBy("lang", "phrase").agg(*[F.sum(c).alias(c) for c in ("a", "left_words", "right_words")])
     return written(sums.where((F.col("a") >= p.least) | (F.col("phrase") == "")), "phrases")
 
@@ -201,10 +288,10 @@ def collocations(counts: DataFrame, p: Params = Params()) -> DataFrame:
     return full.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"), "left_words", "right_words")
 
 
-def op12_collocations(documents: DataFrame) -> DataFrame:
+def op12_collocations(documents: DataFrame, p: Params = Params()) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the 2,000 best phrases of two or three words of each language, as
     phrase_counts() and collocations() define them; other columns are not read."""
-    return collocations(phrase_counts(documents)).drop("left_words", "right_words")
+    return collocations(phrase_counts(documents, p), p).drop("left_words", "right_words")
 
 
 ORACLE = """

@@ -142,7 +142,8 @@ def vote(vectors: np.ndarray, m: Model) -> np.ndarray:
     least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
     w = np.where((near >= least) & (near > 0), near, 0).astype(float) * m.weight
     total = w.sum(axis=1)
-    return np.where(total > 0, np.divide(w @ m.good, total, out=np.zeros_like(total), where=total > 0), m.prior)
+    share = np.divide(w @ m.good, total, out=np.zeros_like(total), where=total > 0)
+    return np.where(total > 0, np.minimum(share, 1.0), m.prior)
 
 
 def scored(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cached: int = 200_000) -> DataFrame:
