@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import audit_queries, corpus_queries, decision_queries, diagnosis_queries, evaluation_queries, knowledge_queries, message_queries, record_queries, retrieval_queries, store_queries, structure_queries, trace_queries
+from . import audit_queries, corpus_queries, decision_queries, diagnosis_queries, evaluation_queries, knowledge_queries, message_queries, record_queries, recovery_queries, retrieval_queries, store_queries, structure_queries, trace_queries, turn_queries
 
-MODULES = (retrieval_queries, audit_queries, corpus_queries, decision_queries, diagnosis_queries, evaluation_queries, knowledge_queries, message_queries, record_queries, store_queries, structure_queries, trace_queries)
+MODULES = (retrieval_queries, audit_queries, corpus_queries, decision_queries, diagnosis_queries, evaluation_queries, knowledge_queries, message_queries, record_queries, recovery_queries, store_queries, structure_queries, trace_queries, turn_queries)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
