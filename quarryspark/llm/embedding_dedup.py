@@ -1,5 +1,6 @@
-"""Near-duplicate embeddings by an exact metric range join: pivots cut the space into cells, the triangle inequality
-says which vectors of other cells a cell must also see, and the cells are joined independently."""
+"""Near-duplicate embeddings by an exact metric range join: pivots, far from one another, cut the space into cells, the
+triangle inequality says which vectors of other cells a cell must also see, and the cells are joined independently; within
+a cell, distances to the next pivot say which blocks of rows need no comparison."""
 
 from __future__ import annotations
 
@@ -17,8 +18,14 @@ from .shared import by_batch, by_group, lowest_share, written
 
 #: Vectors of a chunk: a task holds two chunks.
 CHUNK_ROWS = 8192
-#: More cells than this would send more pivots than a worker should hold.
+#: More cells than this would send more pivots than a worker should hold; of fewer vectors, one pivot for so many, up to
+#: so many cells.
 MOST_PIVOTS = 1024
+ROWS_A_PIVOT, FEW_PIVOTS = 32, 12
+#: Candidates for each pivot, from which those far from one another are taken.
+CANDIDATES = 8
+#: Rows of a block of products, on either side.
+BLOCK = (512, 2048)
 
 
 @dataclass(frozen=True)
@@ -42,6 +49,28 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def apart(candidates: np.ndarray, n: int) -> np.ndarray:
+    """n of the candidates, each as far as can be from those before it; the first is the first."""
+    chosen, near = [0], ((candidates - candidates[0]) ** 2).sum(1)
+    while len(chosen) < min(n, len(candidates)):
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, ((candidates - candidates[chosen[-1]]) ** 2).sum(1))
+    return candidates[chosen]
+
+
+def blocks(far: np.ndarray, split: int, cross: bool, radius: float) -> Iterator[tuple[slice, slice]]:
+    """Blocks of rows that may hold a pair within the radius: of the rows before `split` against those behind it, or, if
+    not cross, of all rows against themselves. `far` is each row's distance to one more pivot, sorted on either side; two
+    rows whose distances differ by more than the radius can't be near each other."""
+    for x in range(0, split if cross else len(far), BLOCK[0]):
+        end = min(x + BLOCK[0], split if cross else len(far))
+        y = split if cross else x
+        y += int(np.searchsorted(far[y:], far[x] - radius))
+        last = (split if cross else x) + int(np.searchsorted(far[split if cross else x :], far[end - 1] + radius, "right"))
+        for k in range(y, last, BLOCK[1]):
+            yield slice(x, end), slice(k, min(k + BLOCK[1], last))
+
+
 def _cells(distinct: DataFrame, p: Params, kind: str, pivots: dict[int, np.ndarray]) -> DataFrame:
     """(dim, cell, home, rep, mult, v): each vector in its home cell, that of its nearest pivot, and in every earlier
     cell that may hold a vector within the radius. For y at home with pivot h, a vector x at home with pivot c is at
@@ -81,13 +110,14 @@ def range_join(vectors: DataFrame, p: Params = Params(), id_col: str = "vec_id",
     distinct = written(vectors.where(valid(id_col, vec_col)).groupBy(F.col(vec_col).alias("v")).agg(F.min(id_col).alias("rep"), F.count("*").alias("mult")), "vectors")
     sizes = {r["d"]: r["n"] for r in distinct.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
     order = Window.partitionBy("d").orderBy("h", "rep")
-    wanted = {d: max(1, min(MOST_PIVOTS, round(n / CHUNK_ROWS))) for d, n in sizes.items()}
+    wanted = {d: max(1, min(MOST_PIVOTS, max(round(n / CHUNK_ROWS), min(FEW_PIVOTS, n // ROWS_A_PIVOT)))) for d, n in sizes.items()}
     some = F.lit(False)
     for d, n in sizes.items():
-        some = some | ((F.col("d") == d) & lowest_share(F.col("h"), wanted[d], n))
-    chosen = distinct.select(F.size("v").alias("d"), F.xxhash64("v").alias("h"), "rep", "v").where(some).withColumn("k", F.row_number().over(order)).where(F.col("k") <= max(wanted.values(), default=1))
-    rows = chosen.select("d", "k", "v").collect()
-    pivots = {d: _unit(np.array([r["v"] for r in rows if r["d"] == d and r["k"] <= n], float)) for d, n in wanted.items()}
+        some = some | ((F.col("d") == d) & lowest_share(F.col("h"), CANDIDATES * wanted[d], n))
+    chosen = distinct.select(F.size("v").alias("d"), F.xxhash64("v").alias("h"), "rep", "v").where(some).withColumn("k", F.row_number().over(order)).where(F.col("k") <= CANDIDATES * max(wanted.values(), default=1))
+    rows = sorted(chosen.select("d", "k", "v").collect(), key=lambda r: r["k"])
+    pivots = {d: apart(_unit(np.array([r["v"] for r in rows if r["d"] == d and r["k"] <= CANDIDATES * n], float)), n) for d, n in wanted.items()}
+    sent = distinct.sparkSession.sparkContext.broadcast(pivots)
     cells = written(_cells(distinct, p, kind, pivots), "cells")
     counts = written(cells.groupBy("dim", "cell").agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(F.col("home") == own) / CHUNK_ROWS)).cast("int").alias(n) for n, own in (("gh", True), ("gr", False))], F.count_if(~F.col("home")).alias("n_far")), "counts")
     placed = cells.join(F.broadcast(counts), ["dim", "cell"]).withColumn("salt", F.xxhash64("rep"))  # a row for each cell: at most MOST_PIVOTS a dimension
@@ -102,40 +132,43 @@ def range_join(vectors: DataFrame, p: Params = Params(), id_col: str = "vec_id",
     def join(key: tuple, rows: list[dict]) -> Iterator[dict]:
         cross = key[2] == 1 or key[3] != key[4]
         first = min(r["own"] for r in rows)
-        rows.sort(key=lambda r: r["own"] != first)
-        m = np.array([np.frombuffer(r["v"], code) for r in rows]).astype(float)
-        u = _unit(m)
+        u = _unit(np.array([np.frombuffer(r["v"], code) for r in rows]).astype(float))
+        centres, behind = sent.value[key[0]], np.array([r["own"] != first for r in rows])
+        home = ((centres - centres[key[1]]) ** 2).sum(1)
+        home[key[1]] = np.inf
+        far = np.sqrt(((u - centres[home.argmin()]) ** 2).sum(1)) if len(centres) > 1 else np.zeros(len(rows))
+        order = np.lexsort((far, behind if cross else np.zeros(len(rows))))
+        rows, u, far = [rows[k] for k in order.tolist()], u[order], far[order]
         low = u.astype(np.float32)
         mult = np.array([r["mult"] for r in rows])
         label, n_links = np.arange(len(rows)), np.zeros(len(rows), np.int64)
-        split = sum(r["own"] == first for r in rows)
+        split = len(rows) - int(behind.sum())
         if cross and split == len(rows):
             return
-        for x in range(0, split if cross else len(rows), 1024):
-            for y in range(split if cross else x, len(rows), 4096):
-                i, j = np.nonzero(low[x : min(x + 1024, split if cross else len(rows))] @ low[y : y + 4096].T >= p.cosine - 1e-5)
-                i, j = i + x, j + y
-                if not cross:
-                    i, j = i[i < j], j[i < j]
-                for k in range(0, len(i), 65_536):
-                    a, b = i[k : k + 65_536], j[k : k + 65_536]
-                    sure = (u[a] * u[b]).sum(1) >= p.cosine
-                    a, b = a[sure], b[sure]
-                    n_links += np.bincount(a, mult[b], len(rows)).astype(np.int64) + np.bincount(b, mult[a], len(rows)).astype(np.int64)
-                    while len(a := a[(new := label[a] != label[b])]):
-                        b = b[new]
-                        hi, lo = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
-                        up = np.arange(len(rows))
-                        np.minimum.at(up, hi, lo)
-                        label = up[label]
+        for x, y in blocks(far, split, cross, p.radius):
+            i, j = np.nonzero(low[x] @ low[y].T >= p.cosine - 1e-5)
+            i, j = i + x.start, j + y.start
+            if not cross:
+                i, j = i[i < j], j[i < j]
+            for k in range(0, len(i), 65_536):
+                a, b = i[k : k + 65_536], j[k : k + 65_536]
+                sure = (u[a] * u[b]).sum(1) >= p.cosine
+                a, b = a[sure], b[sure]
+                n_links += np.bincount(a, mult[b], len(rows)).astype(np.int64) + np.bincount(b, mult[a], len(rows)).astype(np.int64)
+                while len(a := a[(new := label[a] != label[b])]):
+                    b = b[new]
+                    hi, lo = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
+                    up = np.arange(len(rows))
+                    np.minimum.at(up, hi, lo)
+                    label = up[label]
         least = np.full(len(rows), len(rows))
         ids = [r["rep"] for r in rows]
-        order = np.array(sorted(range(len(rows)), key=ids.__getitem__))
+        by_id = np.array(sorted(range(len(rows)), key=ids.__getitem__))
         rank = np.empty(len(rows), np.int64)
-        rank[order] = np.arange(len(rows))
+        rank[by_id] = np.arange(len(rows))
         np.minimum.at(least, label, rank)
         for r in np.flatnonzero(n_links).tolist():
-            yield {"rep": ids[r], "n": int(n_links[r]), "to": ids[order[least[label[r]]]]}
+            yield {"rep": ids[r], "n": int(n_links[r]), "to": ids[by_id[least[label[r]]]]}
 
     id_kind = dict(distinct.dtypes)["rep"]
     found = by_group(both.union(left).union(right), ["dim", "cell", "kind", "i", "j"], f"rep {id_kind}, n long, to {id_kind}", join)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from itertools import accumulate
 
@@ -92,17 +92,26 @@ class Templates:
                 if len(distinct) < need or 1 + min(len(s) - place, len(tokens) - at) - 1 < need:
                     continue
                 both = len(set(s).intersection(tokens))
-                if both >= need and self.must[k].issubset(tokens):
+                if both >= need:
                     out.append((k, both / len(s)))
         return out
 
-    def windows(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, end, containment) where `reach` consecutive words meet a template, cut to begin and
-        end in words of it. From the left, a window that overlaps gives way to one that holds more, of equals the shorter."""
+    def windows(self, words: list[bytes]) -> list[tuple[int, int, int, float, bool]]:
+        """(template, first word, end, containment, named) where `reach` consecutive words meet a template, cut to begin and
+        end in words of it; named if its names and numbers are all there. From the left, a window that overlaps gives way
+        to a named one, then to one that holds more, of equals the shorter. The text is walked once; a template's words are
+        looked at only within reach of one of its prefix, without which no window meets it."""
+        where: dict[int, list[int]] = {}
+        for at, word in enumerate(words):
+            token = self.rank.get(word)
+            if token is not None:
+                where.setdefault(token, []).append(at)
         out = []
         for k, _ in self.within(words):  # a template that the whole text doesn't meet is met by no window
-            own, need, reach = set(self.sets[k]), self.need[k], self.reach[k]
-            places = [(at, token) for at, word in enumerate(words) if (token := self.rank.get(word)) in own]
+            own, need, reach = self.sets[k], self.need[k], self.reach[k]
+            heads = sorted(at for token in own[: len(own) - need + 1] for at in where.get(token, ()))
+            near = lambda at: (n := bisect_left(heads, at - reach + 1)) < len(heads) and heads[n] < at + reach  # noqa: B023, E731
+            places = sorted((at, token) for token in own for at in where.get(token, ()) if near(at))
             held: Counter = Counter()
             first, best = 0, None
             for at, token in places:
@@ -112,16 +121,16 @@ class Templates:
                     if not held[places[first][1]]:
                         del held[places[first][1]]
                     first += 1
-                if len(held) < need or not self.must[k] <= held.keys():
+                if len(held) < need:
                     continue
                 start = places[first][0]
-                if best and start >= best[2]:
-                    out.append((k, best[2] - best[1], best[2], -best[0] / len(own)))
+                if best and start >= best[3]:
+                    out.append((k, best[3] - best[2], best[3], -best[1] / len(own), not best[0]))
                     best = None
-                found = (-len(held), at + 1 - start, at + 1)
+                found = (not self.must[k] <= held.keys(), -len(held), at + 1 - start, at + 1)
                 best = min(best, found) if best else found
             if best:
-                out.append((k, best[2] - best[1], best[2], -best[0] / len(own)))
+                out.append((k, best[3] - best[2], best[3], -best[1] / len(own), not best[0]))
         return out
 
 
@@ -148,9 +157,11 @@ def scan(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATE
     """(id, n_words, phrases, blocks) of every row and whole text.
 
     phrases: array of (label, word), the word numbers from 0 at which a fixed phrase begins, overlaps included. blocks:
-    array of (label, template, line, containment), the windows that hold at least `contain` of a template's distinct
-    words, and all of those that are names or numbers, by the lines, from 0, where they begin. A window has 1 / `contain`
-    times the template's words. Null texts count as empty.
+    array of (label, template, line, containment, named), the windows that hold at least `contain` of a template's distinct
+    words, by the lines, from 0, where they begin; `named` says whether all of those that are names or numbers are among
+    them, without which the label is a guess. A window has 1 / `contain` times the template's words; of windows that
+    overlap one stays, a named one first, then the fullest, then the shortest. Null texts count as empty; rows that repeat
+    are scanned each; an empty table gives no row; other columns are not read.
     """
     vocabulary = frozenset(w for _, t in templates for w in words_of(t.encode()))
     index = Templates(templates, token_frequency(documents, vocabulary, text_col), contain, names)
@@ -176,7 +187,7 @@ def scan(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATE
                                 found.append({"label": label, "word": at})
                 if not index.prefix_words.isdisjoint(words) and (met := index.windows(words)):
                     ends = list(accumulate(len(words_of(line)) for line in _LINES.split(raw)))
-                    blocks = [{"label": index.labels[k], "template": k, "line": bisect_right(ends, a), "containment": c} for k, a, _, c in met]
+                    blocks = [{"label": index.labels[k], "template": k, "line": bisect_right(ends, a), "containment": c, "named": named} for k, a, _, c, named in met]
                 out["n_words"].append(len(words))
                 out["phrases"].append(found)
                 out["blocks"].append(blocks)
@@ -185,37 +196,42 @@ def scan(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATE
         return each
 
     kind = dict(documents.dtypes)[id_col]
-    schema = f"id {kind}, n_words long, phrases array<struct<label:string,word:long>>, blocks array<struct<label:string,template:int,line:long,containment:double>>"
+    schema = f"id {kind}, n_words long, phrases array<struct<label:string,word:long>>, blocks array<struct<label:string,template:int,line:long,containment:double,named:boolean>>"
     return by_batch(documents.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")), schema, make).withColumnRenamed("id", id_col)
 
 
 def op5_license_scan(documents: DataFrame) -> DataFrame:
-    """score: 1 where a phrase stands, else the highest containment of a block, 0 without one."""
+    """score: 1 where a phrase stands, else the highest containment of a named block, 0 without one; labels of the method
+    are those of named blocks; templates are the numbers of all that have a block at the threshold, named or not."""
     joined = lambda *arrays: F.array_join(F.array_sort(F.array_distinct(F.concat(*arrays))), ",")
-    found = scan(documents)
+    found = scan(documents).withColumn("sure", F.filter("blocks", lambda b: b["named"]))
     return found.select(
         "doc_id", "n_words", F.size("phrases").cast("long").alias("n_base"), F.array_min("phrases.word").alias("first_word"), F.array_max("phrases.word").alias("last_word"),
-        joined("phrases.label").alias("base_labels"), joined("phrases.label", "blocks.label").alias("labels"),
-        F.when(F.size("phrases") > 0, 1.0).otherwise(F.coalesce(F.array_max("blocks.containment"), F.lit(0.0))).alias("score"),
+        joined("phrases.label").alias("base_labels"), joined("phrases.label", "sure.label").alias("labels"),
+        F.when(F.size("phrases") > 0, 1.0).otherwise(F.coalesce(F.array_max("sure.containment"), F.lit(0.0))).alias("score"), F.array_join(F.array_sort(F.array_distinct("blocks.template")), ",").alias("templates"),
     )
 
 
 def _oracle(contain: float = 0.8) -> str:
-    """Every line against every template by their common words, without the filters."""
+    """Every window of a template's reach that begins with one of its words, by the words that they share, without the
+    filters."""
     up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    sets = [sorted({w.decode() for w in words_of(t.encode())}) for _, t in TEMPLATES]
-    rows = ", ".join(f"({k}, '{TEMPLATES[k][0]}', '{w}', {len(s)}, {max(1, math.ceil(contain * len(s) - 1e-9))})" for k, s in enumerate(sets) for w in s)
+    index = Templates(TEMPLATES, {}, contain, NAMES)
+    by_rank = {v: k.decode() for k, v in index.rank.items()}
+    rows = ", ".join(f"({k}, '{index.labels[k]}', '{by_rank[w]}', {w in index.must[k]}, {len(index.must[k])}, {len(s)}, {index.need[k]}, {index.reach[k]})" for k, s in enumerate(index.sets) for w in s)
     words = lambda x: f"regexp_extract_all(translate({x}, '{up}', '{low}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     places = ", ".join("list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {n}] = '{x.decode()}'" for n, x in enumerate(p.split())) + f") AS p{k}" for k, (p, _) in enumerate(PHRASES))
     every = " || ".join(f"p{k}" for k in range(len(PHRASES)))
     own = "list_filter([" + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(PHRASES)) + "], lambda x: x IS NOT NULL)"
     return f"""
-WITH t(k, label, word, size, need) AS (VALUES {rows}),
-d AS (SELECT doc_id, coalesce(text, '') AS text, {words("coalesce(text, '')")} AS w FROM documents), p AS (SELECT doc_id, w, {places} FROM d), b AS (SELECT doc_id, len(w) AS n_words, {every} AS places, {own} AS own FROM p),
-l AS (SELECT doc_id, unnest(string_split_regex(text, '[\\n\\r]+')) AS line, generate_subscripts(string_split_regex(text, '[\\n\\r]+'), 1) AS n FROM d), x AS (SELECT doc_id, n, unnest(list_distinct({words("line")})) AS word FROM l),
-m AS (SELECT doc_id, n, k, any_value(label) AS label, count(*)::DOUBLE / any_value(size) AS c FROM x JOIN t USING (word) GROUP BY doc_id, n, k HAVING count(*) >= any_value(need)), g AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM m GROUP BY doc_id)
+WITH t(k, label, word, must, n_must, size, need, reach) AS (VALUES {rows}),
+d AS MATERIALIZED (SELECT doc_id, {words("coalesce(text, '')")} AS w FROM documents), p AS (SELECT doc_id, w, {places} FROM d), b AS (SELECT doc_id, len(w) AS n_words, {every} AS places, {own} AS own FROM p),
+x AS MATERIALIZED (SELECT doc_id, at_word, t.* FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at_word FROM d) JOIN t USING (word)),
+y AS MATERIALIZED (SELECT * FROM x QUALIFY len(list_distinct(list(word) OVER (PARTITION BY doc_id, k))) >= need),
+m AS (SELECT u.doc_id, u.k, u.at_word, any_value(u.label) AS label, count(DISTINCT v.word) AS n, any_value(u.size) AS size, count(DISTINCT v.word) FILTER (v.must) = any_value(u.n_must) AS named FROM y u JOIN y v ON v.doc_id = u.doc_id AND v.k = u.k AND v.at_word BETWEEN u.at_word AND u.at_word + u.reach - 1 GROUP BY u.doc_id, u.k, u.at_word HAVING count(DISTINCT v.word) >= any_value(u.need)),
+g AS (SELECT doc_id, list(DISTINCT label) FILTER (named) AS labels, max(n::DOUBLE / size) FILTER (named) AS c, array_to_string(list_sort(list(DISTINCT k)), ',') AS templates FROM m GROUP BY doc_id)
 SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word, array_to_string(list_sort(own), ',') AS base_labels,
-  array_to_string(list_sort(list_distinct(own || coalesce(labels, []))), ',') AS labels, CASE WHEN len(places) > 0 THEN 1 ELSE coalesce(c, 0) END::DOUBLE AS score FROM b LEFT JOIN g USING (doc_id)"""
+  array_to_string(list_sort(list_distinct(own || coalesce(labels, []))), ',') AS labels, CASE WHEN len(places) > 0 THEN 1 ELSE coalesce(c, 0) END::DOUBLE AS score, coalesce(templates, '') AS templates FROM b LEFT JOIN g USING (doc_id)"""
 
 
 ORACLE = _oracle()

@@ -120,6 +120,35 @@ def test_vectors_are_those_of_brute_force(spark, monkeypatch, chunk):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_cells_and_blocks_save_comparisons(spark):
+    """Every table has several cells; pivots lie apart; blocks leave out most pairs of clustered vectors, and none that is
+    near."""
+    r = np.random.default_rng(3)
+    for sf in ("sf0.001", "sf0.01"):
+        v = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+        assert min(embedding_dedup.FEW_PIVOTS, v.count() // embedding_dedup.ROWS_A_PIVOT) > 1
+    centres = r.standard_normal((20, 4))
+    u = np.concatenate([c + 0.02 * r.standard_normal((200, 4)) for c in centres])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    pivots = embedding_dedup.apart(u, 6)
+    assert ((pivots[:, None] - pivots[None]) ** 2).sum(2)[np.triu_indices(6, 1)].min() > 0.5
+    radius = embedding_dedup.Params().radius
+    for cross, split in ((False, 4000), (True, 1500)):
+        side = r.permutation(4000) >= split if cross else np.zeros(4000, bool)
+        far = np.sqrt(((u - pivots[1]) ** 2).sum(1))
+        order = np.lexsort((far, side))
+        w, far = u[order], far[order]
+        seen = np.zeros((4000, 4000), bool)
+        for x, y in embedding_dedup.blocks(far, split, cross, radius):
+            assert not seen[x, y].any()
+            seen[x, y] = True
+        near = np.triu(w @ w.T >= 0.95, 1)
+        if cross:
+            near[:split, :split] = near[split:, split:] = False
+        assert (seen >= near).all() and near.sum() > 1000
+        assert seen.sum() < 0.9 * (split * (4000 - split) if cross else 4000 * 4000 / 2)
+
+
 def mix_rows():
     r = np.random.default_rng(11)
     names = [("src0", "en")] * 6 + [("src1", "en"), ("src1", "de"), ("src2", "fr"), ("src5", "en"), ("src6", "es")]
