@@ -5,9 +5,11 @@ A trace is parsed once by a schema of the fields that are read; the rest of it i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..sources import json_files
 from .corpus import first_that
 
 _HIT = "struct<chunk_id:string,document_id:string,title:string,section_path:string,section:string,rank:int,position:int,vector_score:double,keyword_score:double,rerank_score:double,combined_score:double,score:double,original_retrieval_rank:int,text_preview:string,text:string>"
@@ -28,6 +30,14 @@ def parsed(traces: DataFrame, column: str = "trace") -> DataFrame:
     return traces.withColumn("t", F.from_json(column, SCHEMA))
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """(trace_id, t, _file) of traces stored as JSON lines. Parts of a trace that a query doesn't name are not parsed; lines
+    that are no trace are left out (json_files.accounted() counts them)."""
+    inner = spark.range(0).select(F.lit(None).cast(SCHEMA).alias("t")).schema["t"].dataType
+    rows = json_files.read(spark, path, StructType([StructField("trace_id", StringType()), *inner.fields])).where(F.col("trace_id").isNotNull())
+    return rows.select("trace_id", F.struct(*inner.names).alias("t"), "_file")
+
+
 def _text(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
