@@ -10,6 +10,8 @@ or stands alone, and its text is a slice of the lines. Nothing is shuffled, and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,9 +77,10 @@ def held(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_held")).select("*", "_held.*").drop("_held")
 
 
-def with_blocks(rows: DataFrame, text_col: str, layout: bool) -> DataFrame:
-    """Adds `blocks`, the array of struct(kind, text) that the lines of a text make, in order; null for a null text."""
-    at = held(rows, _lines=F.transform(F.split(text_col, LINE_END), lambda x: _line(x, layout)))
+def with_blocks(rows: DataFrame, text_col: str, line: Callable[[Column], Column]) -> DataFrame:
+    """Adds `blocks`, the array of struct(kind, text) that the lines of a text make, in order; null for a null text. `line`
+    gives the struct(kind, text) of a raw line."""
+    at = held(rows, _lines=F.transform(F.split(text_col, LINE_END), line))
     kinds = F.transform("_lines", lambda x: x["kind"])
     before = F.concat(F.array(F.lit("blank")), F.slice(kinds, 1, F.size(kinds) - 1))
     first = F.zip_with(kinds, before, lambda k, b: (k != "blank") & (k.isin(*ALONE) | (k != b)))
@@ -97,7 +100,7 @@ def recovered_once(nodes: DataFrame, layout: bool) -> DataFrame:
     """Cuts each giant paragraph of a tree. A section takes in what follows it in the paragraph. On laid-out pages a
     paragraph that stays one paragraph is left as it is."""
     whole = F.coalesce((F.col("node_type") == "paragraph") & giant(F.col("text")), F.lit(False))
-    cut = with_blocks(nodes.withColumn("_whole", F.when(whole, F.col("text"))), "_whole", layout)
+    cut = with_blocks(nodes.withColumn("_whole", F.when(whole, F.col("text"))), "_whole", lambda x: _line(x, layout))
     split = F.col("_whole").isNotNull()
     if layout:
         split = split & ~((F.size("blocks") == 1) & F.col("blocks")[0]["kind"].isin("paragraph", "clause"))
