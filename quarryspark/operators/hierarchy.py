@@ -6,11 +6,14 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.text import token_estimate
 from .chunking import SENTENCE_END, estimate, split_to_budget
+from .corpus import body, noise
+from .knowledge import BOILERPLATE
 
 DIGEST = re.compile(r"(?i)sha256:[a-f0-9]{64}")
 #: Kinds of block that may stand a twentieth over the budget, for the path before them.
@@ -87,6 +90,10 @@ def document_chunks(found: list[tuple[str, list[str], str]], most: int, least: i
     return out
 
 
+def _identity(version: str) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(version), F.col("document_id").cast("string"), F.lit("v1"), F.col("chunk_index").cast("string"), "content"), 256)
+
+
 def hierarchical_chunks(rows: DataFrame, most: int = 150, least: int = 30, version: str = "v1") -> DataFrame:
     """(document_id, chunk_index, chunk_id, path, method, content, token_count) of units(). A document's units meet in one
     row, as its text did before; the rest is done where they are. Documents without a unit give no chunk."""
@@ -103,8 +110,26 @@ def hierarchical_chunks(rows: DataFrame, most: int = 150, least: int = 30, versi
             yield pa.RecordBatch.from_pydict({"document_id": pa.array(out["document_id"], batch["document_id"].type), "chunk_index": pa.array(out["chunk_index"], pa.int32()), "path": pa.array(out["path"], pa.list_(pa.string())), "method": pa.array(out["method"], pa.string()), "content": pa.array(out["content"], pa.string())})
 
     found = gathered.mapInArrow(run, f"document_id {kind}, chunk_index int, path array<string>, method string, content string")
-    identity = F.sha2(F.concat_ws("|", F.lit(version), F.col("document_id").cast("string"), F.lit("v1"), F.col("chunk_index").cast("string"), "content"), 256)
-    return found.select("document_id", "chunk_index", identity.alias("chunk_id"), "path", "method", "content", token_estimate(F.col("content")).alias("token_count"))
+    return found.select("document_id", "chunk_index", _identity(version).alias("chunk_id"), "path", "method", "content", token_estimate(F.col("content")).alias("token_count"))
+
+
+def filtered(chunks: DataFrame, confident: float = 0.85, version: str = "v1") -> tuple[DataFrame, DataFrame]:
+    """(kept, suppressed) of hierarchical_chunks(). Debris that is surely so goes first; then, of chunks with one text,
+    whatever its case and blanks, in one document and path, all but the first. suppressed: (document_id, chunk_index,
+    path, method, token_count, reason, confidence, detail, preview), a row for each chunk dropped. Kept chunks are numbered
+    anew, and their ids are made from that."""
+    judged = chunks.withColumn("n", noise(F.col("content"), F.col("token_count"), F.col("method") == "hard")).withColumn("noisy", F.col("n.category").isNotNull() & (F.col("n.confidence") >= confident))
+    text = F.sha2(F.lower(F.array_join(tx.words(F.col("content")), " ")), 256)
+    same = Window.partitionBy("document_id", "path", "noisy", text).orderBy("chunk_index")
+    judged = judged.withColumn("first", F.first("chunk_id").over(same)).withColumn("again", ~F.col("noisy") & (F.row_number().over(same) > 1))
+    repeat = F.when(F.col("content").rlike(BOILERPLATE) | F.contains(F.lower(body(F.col("content"))), F.lit("left blank")), "boilerplate").otherwise("same_context_duplicate")
+    shown = [F.col("document_id"), F.col("chunk_index"), F.col("path"), F.col("method"), F.col("token_count")]
+    gone = judged.where("noisy or again").select(
+        *shown, F.when(F.col("noisy"), F.col("n.category")).otherwise(repeat).alias("reason"), F.when(F.col("noisy"), F.col("n.confidence")).otherwise(1.0).alias("confidence"),
+        F.when(F.col("noisy"), F.col("n.reason")).otherwise(F.concat(F.lit("duplicate_of="), "first")).alias("detail"), F.left("content", F.lit(200)).alias("preview"),
+    )
+    kept = judged.where("not noisy and not again").withColumn("chunk_index", (F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index")) - 1).cast("int"))
+    return kept.select("document_id", "chunk_index", _identity(version).alias("chunk_id"), "path", "method", "content", "token_count"), gone
 
 
 def whole_units(rows: DataFrame, most: int = 150) -> DataFrame:
