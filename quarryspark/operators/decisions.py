@@ -113,19 +113,33 @@ def after_low_value(status: Column, classification: Column) -> Column:
     return F.when(classification == "NOT_USEFUL", "EXCLUDED").when(classification == "REVIEW", "REVIEW").otherwise(status)
 
 
-def review_decision(url: Column, text: Column, kind: Column, by_ocr: Column, scope: str, ambiguous: tuple[str, ...] = ()) -> Column:
-    """struct(decision, confidence) for a document under review. `scope` is the caller's pattern of what is in scope."""
+def review_decision(url: Column, text: Column, kind: Column, by_ocr: Column, scope: str, ambiguous: tuple[str, ...] = (), review_reason: Column | None = None) -> Column:
+    """struct(decision, confidence, reason, evidence) for a document under review. `scope` is the caller's pattern of what is
+    in scope, `ambiguous` URLs that only a person can judge, a closing slash aside; `review_reason` why it is under review."""
     n = F.length(F.regexp_replace(tx.filled(text), BLANK, ""))
-    grade = F.when(by_ocr, ocr_grade(text)).otherwise("GOOD")
-    in_scope = kind.isin("investor", "notice", "policy", "product") | tx.filled(text).rlike(scope)
-    out = lambda decision, confidence: F.struct(F.lit(decision).alias("decision"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence"))
+    ocr, signals = F.coalesce(by_ocr, F.lit(False)), garbage_signals(text)
+    grade = F.when(ocr, ocr_grade(text)).otherwise("GOOD")
+    said = tx.filled(text).rlike(scope)
+    in_scope = kind.isin("investor", "notice", "policy", "product") | said
     known = F.rtrim(url, F.lit("/")).isin(*[u.rstrip("/") for u in ambiguous]) if ambiguous else F.lit(False)
+    shown = lambda **parts: F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit("None"))) for k, v in parts.items()])
+    out = lambda decision, confidence, reason, evidence: F.struct(F.lit(decision).alias("decision"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence"), F.lit(reason).alias("reason"), evidence.alias("evidence"))
+    why = review_reason if review_reason is not None else F.lit(None).cast("string")
     return first_that(
-        (known | grade.isin("UNUSABLE", "SUBSTANTIAL"), out("KEEP_REVIEW", "high")), ((kind == "other") & ~in_scope & (n < 500), out("KEEP_REVIEW", "medium")),
-        ((n >= 200) & in_scope, out("APPROVE", F.when(grade == "GOOD", "high").otherwise("medium"))), (F.lit(True), out("KEEP_REVIEW", "low")),
+        (known, out("KEEP_REVIEW", "high", "Document type and production RAG relevance remain uncertain", F.concat(shown(type=kind, meaningful_chars=n), F.lit(", url is ambiguous")))),
+        (grade == "UNUSABLE", out("KEEP_REVIEW", "high", "OCR grade UNUSABLE — content not reliably readable for retrieval", shown(ocr_grade=grade, garbage_signals=signals, meaningful_chars=n))),
+        (grade == "SUBSTANTIAL", out("KEEP_REVIEW", "high", "OCR grade SUBSTANTIAL — errors may materially affect retrieval accuracy", shown(ocr_grade=grade, garbage_signals=signals))),
+        ((kind == "other") & ~in_scope & (n < 500), out("KEEP_REVIEW", "medium", "Ambiguous relevance with insufficient in-scope signals", shown(type=kind, meaningful_chars=n, in_scope_keywords=said))),
+        ((n >= 200) & in_scope, out("APPROVE", F.when(grade == "GOOD", "high").otherwise("medium"), "Content is meaningful, in-scope, and sufficiently readable for retrieval", shown(type=kind, ocr_grade=grade, meaningful_chars=n, review_reason=why))),
+        (F.lit(True), out("KEEP_REVIEW", "low", "Insufficient evidence to approve or reject automatically", shown(type=kind, meaningful_chars=n, in_scope=in_scope))),
     )
 
 
+def after_review(status: Column, decision: Column) -> Column:
+    """An eligibility status after the review of a document; documents that stay under review keep theirs."""
+    return F.when(decision == "APPROVE", "ELIGIBLE").when(decision == "REJECT", "EXCLUDED").otherwise(status)
+
+
 def validated(cleaned: Column, baseline: Column, title: Column, url: Column, source_type: Column, excluded: Column) -> Column:
     """struct(status, errors, warnings) of a document: what was cleaned against the text it was cleaned from. Excluded
     documents pass as they are; errors fail, warnings leave VALIDATED, neither makes it ACTIVE."""

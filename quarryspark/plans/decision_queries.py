@@ -68,9 +68,19 @@ def ocr_grades(spark, root):
     return table(spark, root, "documents").select("doc_id", decisions.ocr_grade(t).alias("grade"), decisions.ocr_concern(t).alias("concern"), decisions.ocr_corrupted(t).alias("corrupted"))
 
 
+AMBIGUOUS = ("https://src3/x/", "https://src11/x")
+KINDS = ("other", "product", "webpage", "other", "notice", "blog")
+
+
 def review_decisions(spark, root):
-    made = decisions.review_decision(F.concat(F.lit("https://"), "source"), F.col("text"), F.lit("other"), F.lit(False), SCOPE)
-    return table(spark, root, "documents").select("doc_id", made.alias("d")).select("doc_id", "d.decision", "d.confidence")
+    """Documents under review: their kinds by number, every fifth by OCR with up to seven marks of bad readings, every
+    eleventh cut to a short text."""
+    i = F.col("doc_id")
+    text = F.when(i % 11 == 4, F.left("text", F.lit(90))).otherwise(F.col("text"))
+    text = F.when(i % 5 == 0, F.concat(text, F.repeat(F.lit(" ~^~^~ ok"), (i % 8).cast("int")))).otherwise(text)
+    rows = table(spark, root, "documents").select("doc_id", F.concat(F.lit("https://"), "source", F.when(i % 4 == 0, "/x/").otherwise("/x")).alias("url"), F.when(i % 13 != 7, text).alias("text"), F.element_at(F.array(*map(F.lit, KINDS)), (i % 6 + 1).cast("int")).alias("kind"))
+    made = decisions.review_decision(F.col("url"), F.col("text"), F.col("kind"), i % 5 == 0, SCOPE, AMBIGUOUS, F.when(i % 2 == 0, "ocr_quality"))
+    return rows.select("doc_id", made.alias("d")).select("doc_id", "d.*", decisions.after_review(F.lit("REVIEW"), F.col("d.decision")).alias("status"))
 
 
 def _chunks(spark, root):
@@ -128,6 +138,10 @@ QUERIES = {
     "embed_rejections": embed_rejections, "extraction_quality": extraction_quality,
 }
 
+#: The signs of bad readings without a back reference: five equal characters, one character at a time.
+_EQUAL = "|".join(f"\\x{{{ord(c):x}}}{{5,}}" for c in map(chr, [9, *range(32, 127), *range(161, 384), 0x2013, 0x2014, 0x20B9]))
+_SIGNS = _EQUAL + "|" + decisions.OCR_GARBAGE.split("|", 1)[1].replace("'", "''")
+
 _P = rf"""WITH p AS (SELECT page_id, url, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title, html, {_CLEAN} AS text, regexp_extract_all(html, '<h[1-6][^>]*>(.*?)</h[1-6]>', 1, 's') AS headings,
   CASE WHEN regexp_matches(lower(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?', 1)), '^(www\.)?th(thre|thth|ther)\.example\.(com|net|org)$') THEN 'TARGET' ELSE 'NON_TARGET' END AS policy FROM pages),
 x AS (SELECT *, CASE WHEN policy <> 'TARGET' THEN 'non-target website' WHEN contains(lower(url), '/cart') OR contains(lower(url), '/checkout') THEN 'cart/checkout page' WHEN contains(lower(url), '/apps/') THEN 'third-party app embed'
@@ -154,7 +168,14 @@ ORACLE_SQL = {
         CASE WHEN status = 'ACTIVE' AND policy <> 'TARGET' THEN 'NON_TARGET document has production status' END, CASE WHEN status = 'ACTIVE' AND marked THEN 'excluded metadata on ACTIVE/VALIDATED document' END], lambda v: v IS NOT NULL)) AS issue FROM m""",
     "low_value_documents": f"WITH n AS (SELECT doc_id, {_WORDS} AS tokens, regexp_matches(coalesce(text, ''), '(?i)click the map to enable')::INT + regexp_matches(coalesce(text, ''), '(?i)^send message$')::INT + regexp_matches(coalesce(text, ''), '(?i)^message us$')::INT + regexp_matches(coalesce(text, ''), '(?i)^drop us message')::INT AS hits FROM documents) SELECT doc_id, tokens, CASE WHEN hits >= 2 THEN 'NOT_USEFUL' ELSE 'REVIEW' END AS classification, CASE WHEN hits >= 2 THEN 'EXCLUDED' ELSE 'REVIEW' END AS status FROM n WHERE tokens < 100",
     "ocr_lines": r"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|[\n\r\f\v]'), lambda s: regexp_replace(s, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')), lambda s: s <> '') AS s FROM documents), r AS (SELECT doc_id, list_transform(s, lambda x: length(regexp_replace(x, '[^\p{L}]', '', 'g'))::DOUBLE / length(x)) AS s FROM l) SELECT doc_id, len(s) AS n_lines, len(list_filter(s, lambda x: x < 0.45)) AS noisy, len(list_filter(s, lambda x: x < 0.35)) AS very_noisy FROM r",
-    "review_decisions": r"WITH n AS (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', '', 'g')) AS n, regexp_matches(coalesce(text, ''), '(?i)(^|[^\p{L}\p{N}_])(warranty|return|refund|policy|license|the|der|la|de)($|[^\p{L}\p{N}_])') AS s FROM documents) SELECT doc_id, CASE WHEN n >= 200 AND s THEN 'APPROVE' ELSE 'KEEP_REVIEW' END AS decision, CASE WHEN NOT s AND n < 500 THEN 'medium' WHEN n >= 200 AND s THEN 'high' ELSE 'low' END AS confidence FROM n",
+    "review_decisions": rf"""WITH b AS (SELECT doc_id, 'https://' || source || '/x' AS url, [{", ".join(f"'{k}'" for k in KINDS)}][doc_id % 6 + 1] AS kind, doc_id % 5 = 0 AS ocr, coalesce(CASE WHEN doc_id % 13 <> 7 THEN CASE WHEN doc_id % 11 = 4 THEN left(text, 90) ELSE text END || CASE WHEN doc_id % 5 = 0 THEN repeat(' ~^~^~ ok', doc_id % 8) ELSE '' END END, '') AS text FROM documents),
+m AS (SELECT *, length(regexp_replace(text, '[ \t\n\r\f\v]+', '', 'g')) AS n, len(regexp_extract_all(text, '{_SIGNS}')) AS g, regexp_matches(text, '{SCOPE}') AS said, len(regexp_extract_all(text, '[A-Za-z]{{3,}}')) AS words FROM b),
+o AS (SELECT *, CASE WHEN NOT ocr THEN 'GOOD' WHEN trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')) = '' OR g >= 6 THEN 'UNUSABLE' WHEN g >= 4 THEN 'SUBSTANTIAL' WHEN g >= 1 THEN 'MINOR' WHEN length(text) > 400 AND words < 25 THEN 'UNUSABLE' ELSE 'GOOD' END AS grade, said OR kind IN ('product', 'notice') AS s FROM m),
+r AS (SELECT *, CASE WHEN url IN ({", ".join(f"'{u.rstrip('/')}'" for u in AMBIGUOUS)}) THEN 1 WHEN grade = 'UNUSABLE' THEN 2 WHEN grade = 'SUBSTANTIAL' THEN 3 WHEN kind = 'other' AND NOT s AND n < 500 THEN 4 WHEN n >= 200 AND s THEN 5 ELSE 6 END AS k FROM o)
+SELECT doc_id, CASE WHEN k = 5 THEN 'APPROVE' ELSE 'KEEP_REVIEW' END AS decision, CASE WHEN k <= 3 THEN 'high' WHEN k = 4 THEN 'medium' WHEN k = 6 THEN 'low' WHEN grade = 'GOOD' THEN 'high' ELSE 'medium' END AS confidence,
+  ['Document type and production RAG relevance remain uncertain', 'OCR grade UNUSABLE — content not reliably readable for retrieval', 'OCR grade SUBSTANTIAL — errors may materially affect retrieval accuracy', 'Ambiguous relevance with insufficient in-scope signals', 'Content is meaningful, in-scope, and sufficiently readable for retrieval', 'Insufficient evidence to approve or reject automatically'][k] AS reason,
+  CASE k WHEN 1 THEN 'type=' || kind || ', meaningful_chars=' || n || ', url is ambiguous' WHEN 2 THEN 'ocr_grade=' || grade || ', garbage_signals=' || g || ', meaningful_chars=' || n WHEN 3 THEN 'ocr_grade=' || grade || ', garbage_signals=' || g WHEN 4 THEN 'type=' || kind || ', meaningful_chars=' || n || ', in_scope_keywords=' || said WHEN 5 THEN 'type=' || kind || ', ocr_grade=' || grade || ', meaningful_chars=' || n || ', review_reason=' || CASE WHEN doc_id % 2 = 0 THEN 'ocr_quality' ELSE 'None' END ELSE 'type=' || kind || ', meaningful_chars=' || n || ', in_scope=' || s END AS evidence,
+  CASE WHEN k = 5 THEN 'ELIGIBLE' ELSE 'REVIEW' END AS status FROM r""",
     "chunk_issues": _ROWS + "SELECT document_id, issue, count(*) AS n FROM (SELECT document_id, unnest(issues) AS issue FROM i) GROUP BY ALL",
     "chunk_quality_gate": _ROWS + "SELECT count(*) AS generated, count(*) FILTER (len(issues) = 0) AS n_passed, count(*) FILTER (len(issues) > 0) AS n_failed, count(*) FILTER (token_count < 25) AS n_small, max(token_count) AS most, round_even(avg(token_count), 4) AS mean, CASE WHEN count(*) FILTER (len(issues) > 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS determinism FROM i",
     "chunk_set_issues": _ROWS + "SELECT 'duplicate_chunks' AS issue, sha256(content) AS key, count(*) AS n FROM c WHERE trim(content) <> '' GROUP BY content HAVING count(*) > 1",
