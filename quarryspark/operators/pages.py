@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .structure import stripped, with_blocks
+from .structure import LINE_END, stripped, with_blocks
 
 #: A heading line, and the most words of one.
 HEADING, MOST_WORDS = r"""^[A-Z][A-Z0-9 \-/&(),.'"]{3,}$""", 12
@@ -55,6 +55,6 @@ def page_blocks(pages: DataFrame, heading: str = HEADING) -> DataFrame:
         kind = F.when(own == "", "blank").when(own.rlike(heading) & (F.size(tx.words(own)) <= MOST_WORDS), "heading").otherwise("paragraph")
         return F.struct(kind.alias("kind"), own.alias("text"))
 
-    found = with_blocks(pages.withColumn("text", tx.filled(F.col("text"))), "text", line)
+    found = with_blocks(pages.withColumn("text", tx.filled(F.col("text"))), "text", lambda t: F.transform(F.split(t, LINE_END), line))
     none = F.array(F.struct(F.lit("paragraph").alias("kind"), F.lit("").alias("text")))
     return found.select("document_id", "page", F.posexplode(F.when(F.size("blocks") > 0, F.col("blocks")).otherwise(none)).alias("ord", "b")).select("document_id", "page", "ord", F.col("b.kind").alias("node_type"), F.col("b.text").alias("text"))

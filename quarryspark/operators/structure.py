@@ -46,8 +46,8 @@ def _bold(line: Column) -> Column:
 def giant(text: Column) -> Column:
     """Whether a paragraph is to be cut: it is one bold line, has two clauses or bold lines, or is long."""
     own = stripped(tx.filled(text))
-    marked = F.size(F.filter(F.split(own, LINE_END), lambda x: stripped(x).rlike(CLAUSE) | stripped(x).rlike(BOLD)))
-    return own.rlike(BOLD) | (marked >= 2) | (F.length(own) >= GIANT_CHARS)
+    marked = F.size(F.filter(F.transform(F.split(own, LINE_END), stripped), lambda x: x.rlike(CLAUSE) | (F.startswith(x, F.lit("**")) & x.rlike(BOLD))))
+    return (F.length(own) >= GIANT_CHARS) | own.rlike(BOLD) | (marked >= 2)
 
 
 def title(line: Column) -> Column:
@@ -56,19 +56,29 @@ def title(line: Column) -> Column:
     return (F.length(line) <= LONGEST_TITLE) & (line.rlike(PART) | (line.rlike(CAPITALS) & (letters >= LETTERS_OF_A_TITLE)) | line.rlike(NUMBERED))
 
 
-def _line(raw: Column, layout: bool) -> Column:
-    """struct(kind, text) of a raw line. On laid-out pages, titles open sections and bullets make lists; elsewhere, bold
-    lines with a number open sections and other bold lines are headings. Clauses stand alone in both."""
-    own, inner = stripped(raw), _bold(stripped(raw))
+def _kind(own: Column, layout: bool) -> Column:
+    """The kind of a stripped line. On laid-out pages, titles open sections and bullets make lists; elsewhere, bold lines
+    with a number open sections and other bold lines are headings. Clauses stand alone in both."""
+    if layout:
+        return F.when(own == "", "blank").when(own.rlike(BULLET), "list").when(title(own), "section").when(own.rlike(CLAUSE), "clause").otherwise("paragraph")
+    bold = F.when(_bold(own).rlike(BOLD_NUMBER), "section").otherwise("heading")
+    return F.when(own == "", "blank").when(F.startswith(own, F.lit("**")) & own.rlike(BOLD), bold).when(own.rlike(CLAUSE), "clause").otherwise("paragraph")
+
+
+def _content(raw: Column, own: Column, kind: Column, layout: bool) -> Column:
     as_is = F.regexp_replace(raw, r"[ \t\n\r\f\x0B]+$", "")
     if layout:
-        kind = F.when(own == "", "blank").when(own.rlike(BULLET), "list").when(title(own), "section").when(own.rlike(CLAUSE), "clause").otherwise("paragraph")
-        text = F.when(own.rlike(BULLET), stripped(F.regexp_extract(own, BULLET, 1))).when(title(own) | own.rlike(CLAUSE), own).otherwise(as_is)
-    else:
-        numbered = F.concat(F.regexp_extract(inner, BOLD_NUMBER, 1), F.lit(". "), stripped(F.regexp_extract(inner, BOLD_NUMBER, 2)))
-        kind = F.when(own == "", "blank").when(own.rlike(BOLD), F.when(inner.rlike(BOLD_NUMBER), "section").otherwise("heading")).when(own.rlike(CLAUSE), "clause").otherwise("paragraph")
-        text = F.when(own.rlike(BOLD), F.when(inner.rlike(BOLD_NUMBER), numbered).otherwise(inner)).when(own.rlike(CLAUSE), own).otherwise(as_is)
-    return F.struct(kind.alias("kind"), text.alias("text"))
+        return F.when(kind == "list", stripped(F.regexp_extract(own, BULLET, 1))).when(kind.isin("section", "clause"), own).otherwise(as_is)
+    inner = _bold(own)
+    numbered = F.concat(F.regexp_extract(inner, BOLD_NUMBER, 1), F.lit(". "), stripped(F.regexp_extract(inner, BOLD_NUMBER, 2)))
+    return F.when(kind == "section", numbered).when(kind == "heading", inner).when(kind == "clause", own).otherwise(as_is)
+
+
+def _lines(text: Column, layout: bool) -> Column:
+    """struct(kind, text) of each line. Every step names what the one before has found, so a pattern is tried once a line."""
+    bare = F.transform(F.split(text, LINE_END), lambda x: F.struct(x.alias("raw"), stripped(x).alias("own")))
+    sorted_ = F.transform(bare, lambda x: F.struct(x["raw"].alias("raw"), x["own"].alias("own"), _kind(x["own"], layout).alias("kind")))
+    return F.transform(sorted_, lambda x: F.struct(x["kind"].alias("kind"), _content(x["raw"], x["own"], x["kind"], layout).alias("text")))
 
 
 def held(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -77,10 +87,10 @@ def held(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_held")).select("*", "_held.*").drop("_held")
 
 
-def with_blocks(rows: DataFrame, text_col: str, line: Callable[[Column], Column]) -> DataFrame:
-    """Adds `blocks`, the array of struct(kind, text) that the lines of a text make, in order; null for a null text. `line`
-    gives the struct(kind, text) of a raw line."""
-    at = held(rows, _lines=F.transform(F.split(text_col, LINE_END), line))
+def with_blocks(rows: DataFrame, text_col: str, lines: Callable[[Column], Column]) -> DataFrame:
+    """Adds `blocks`, the array of struct(kind, text) that the lines of a text make, in order; null for a null text. `lines`
+    gives the array of struct(kind, text) of a text's lines."""
+    at = held(rows, _lines=lines(F.col(text_col)))
     kinds = F.transform("_lines", lambda x: x["kind"])
     before = F.concat(F.array(F.lit("blank")), F.slice(kinds, 1, F.size(kinds) - 1))
     first = F.zip_with(kinds, before, lambda k, b: (k != "blank") & (k.isin(*ALONE) | (k != b)))
@@ -100,7 +110,7 @@ def recovered_once(nodes: DataFrame, layout: bool) -> DataFrame:
     """Cuts each giant paragraph of a tree. A section takes in what follows it in the paragraph. On laid-out pages a
     paragraph that stays one paragraph is left as it is."""
     whole = F.coalesce((F.col("node_type") == "paragraph") & giant(F.col("text")), F.lit(False))
-    cut = with_blocks(nodes.withColumn("_whole", F.when(whole, F.col("text"))), "_whole", lambda x: _line(x, layout))
+    cut = with_blocks(nodes.withColumn("_whole", F.when(whole, F.col("text"))), "_whole", lambda t: _lines(t, layout))
     split = F.col("_whole").isNotNull()
     if layout:
         split = split & ~((F.size("blocks") == 1) & F.col("blocks")[0]["kind"].isin("paragraph", "clause"))

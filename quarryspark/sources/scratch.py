@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, tag: str) -> str:
@@ -18,3 +18,11 @@ def folder(spark: SparkSession, tag: str) -> str:
         at = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, tag: str) -> DataFrame:
+    """rows as a table in that folder, for what several branches of a plan read: it is made once, and lost executors cost
+    the tasks that were running."""
+    at = folder(rows.sparkSession, tag)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
