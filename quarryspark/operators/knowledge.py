@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.scratch import written
+from . import anchors
 from .corpus import body, first_that, kept_first
 
 INLINE_QUESTION = r"(?i)Q[0-9]+\.[ \t\n\r\f\x0B]+[^\n]"
@@ -121,6 +123,41 @@ def scoped(document_id: Column, document_type: Column, method: Column) -> Column
     return F.when(document_type.isNotNull(), by_type).when(document_id.isNotNull(), by_document).otherwise(True) & (method.isNull() | (F.col("extraction_method") == method))
 
 
+def scoped_coverage(questions: DataFrame, chunks: DataFrame, most_ids: int = 3) -> DataFrame:
+    """(query_id, n_needles, covered, single_chunk, first_chunks, page_ok, lost, split, passed) of every question.
+
+    questions: (query_id, document_id, document_type, extraction_method, needles, one_chunk, need_page); chunks:
+    (chunk_id, document_id, document_type, extraction_method, page_number, content, served). A question is covered if the
+    served chunks in its scope (see scoped) hold all its needles together; `lost` tells that only the chunks which are
+    not served do. `first_chunks` are the ids, in order, of chunks that hold all alone, at most most_ids; where a page is
+    asked for, the first of them must have one. It passes if it is covered, by one chunk where that is asked, and the page
+    is there. A question without needles is covered.
+
+    Texts are read once for all needles by anchors.with_hits; a needle found and a question that asks for it meet by an
+    equal join, so no question meets a chunk that holds none of its needles. Presence is summed before it is shuffled, and
+    the ids are cut to the first ones in each task first. Needles that repeat count once, empty ones hold everywhere."""
+    lids = F.array_sort(F.array_distinct(F.transform(F.filter("needles", lambda n: F.coalesce(n, F.lit("")) != ""), lambda n: F.xxhash64(F.lower(n)))))
+    scope = [F.col(c).alias(f"q_{c}") for c in ("document_id", "document_type", "extraction_method")]
+    q = questions.select("query_id", F.coalesce(lids, F.array().cast("array<bigint>")).alias("need"), F.coalesce("one_chunk", F.lit(False)).alias("one_chunk"), F.coalesce("need_page", F.lit(False)).alias("need_page"), *scope)
+    literals = anchors.numbered_literals(questions.select(F.explode("needles").alias("literal")))
+    texts = chunks.select("chunk_id", "document_id", "document_type", "extraction_method", "page_number", "served", F.lower(tx.filled(F.col("content"))).alias("low"))
+    found = written(anchors.with_hits(texts, "low", literals).drop("low").where(F.size("hits") > 0), "hits")
+    met = found.select("*", F.explode("hits").alias("lid")).join(q.select("*", F.explode("need").alias("lid")), "lid")
+    met = met.where(scoped(F.col("q_document_id"), F.col("q_document_type"), F.col("q_extraction_method")))
+    sums = met.groupBy("query_id", "served", "lid").agg(F.count("*").alias("n")).groupBy("query_id").agg(F.count_if("served").alias("here"), F.count_if(~F.col("served")).alias("away"))
+    alone = met.where(F.col("served") & (F.col("lid") == F.col("need")[0]) & (F.size(F.array_except("need", "hits")) == 0)).select("query_id", "chunk_id", "page_number")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))
+    first = alone.withColumn("place", place).where(F.col("place") <= most_ids).groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("first_chunks"), F.min_by("page_number", "place").alias("page"))
+    rows = q.select("query_id", F.size("need").cast("long").alias("n_needles"), "one_chunk", "need_page").join(sums, "query_id", "left").join(first, "query_id", "left")
+    full = lambda name: F.coalesce(name, F.lit(0)) == F.col("n_needles")
+    single = F.col("first_chunks").isNotNull()
+    page = ~F.col("need_page") | ~single | F.col("page").isNotNull()
+    return rows.select(
+        "query_id", "n_needles", full("here").alias("covered"), single.alias("single_chunk"), F.coalesce("first_chunks", F.array().cast(rows.schema["first_chunks"].dataType)).alias("first_chunks"), page.alias("page_ok"),
+        (~full("here") & full("away")).alias("lost"), (full("here") & ~single & F.col("one_chunk")).alias("split"), (full("here") & page & (single | ~F.col("one_chunk"))).alias("passed"),
+    )
+
+
 def empty_blocks(blocks: DataFrame) -> DataFrame:
     """(document_id, ord, node_type) of blocks without text."""
     return blocks.where(F.trim(tx.filled(F.col("text"))) == "").select("document_id", "ord", "node_type")
