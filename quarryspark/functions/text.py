@@ -30,11 +30,28 @@ def distinct_tokens(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
 
-def query_terms(text: Column) -> Column:
-    """Tokens that are no stop words; repeats stay."""
+def query_terms(text: Column, codes: tuple[str, ...] = ()) -> Column:
+    """Tokens that are no stop words; repeats stay. The caller's codes are also found behind an article that was glued to
+    them: with the code bte, abte is bte."""
+    if codes:
+        text = F.regexp_replace(filled(text), rf"(?iU)\b(a)({'|'.join(codes)})\b", "$1 $2")
     return F.filter(tokens(text), lambda t: ~t.isin(*STOP_WORDS))
 
 
+def lexical_coverage(query: Column, text: Column, codes: tuple[str, ...] = ()) -> Column:
+    """The share of a query's distinct terms that a text holds, to six places, a synonym counting as the term; 0 of a
+    query without terms."""
+    terms, own = F.array_distinct(query_terms(query, codes)), distinct_tokens(text)
+
+    def held(term: Column) -> Column:
+        found = F.array_contains(own, term)
+        for name, others in SYNONYMS.items():
+            found = found | ((term == name) & F.arrays_overlap(own, F.array(*map(F.lit, others))))
+        return found
+
+    return F.when(F.size(terms) == 0, 0.0).otherwise(F.bround(F.size(F.filter(terms, held)) / F.size(terms), 6))
+
+
 def words(text: Column) -> Column:
     """White-space separated words."""
     return F.filter(F.split(filled(text), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
