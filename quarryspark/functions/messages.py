@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import filled
 
+#: White space, the edge of a word in any script, and the end, written out: engines differ in what \s, \b, a full stop and $ are.
+SPACE = r"[ \t\n\x0B\f\r]"
+BEFORE, AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|\z)"
+
 #: What a message may begin with before it comes to the point.
 FILLERS = (
     r"ok(?:ay)?", "so", "well", "um+", "uh+", "please", "actually", "alright", "right",
@@ -32,23 +38,32 @@ ABOUT = (
 QUESTION = ("who", "what", "where", "when", "why", "which", "how", "is", "are", "was", "were", "does", "do", "did", "can", "could", "would", "should")
 TOPIC_ENDS = ("first", "instead", "please", "then", "now", "though")
 
-STRIP = r"(?i)^(?:[?!,.\s]+|(?:" + "|".join(FILLERS) + r")[,!.?\s]+)+"
-ABOUT_RE = r"(?i)^(?:" + "|".join(ABOUT) + r")\s+(.+?)\s*$"
+
+
+def plain(pattern: str) -> str:
+    """A pattern with \b at its ends and \s outside of classes, with both written out. It takes a character beside the word
+    with it, so it is for tests."""
+    pattern = re.sub(r"^\\b", lambda _: BEFORE, pattern)
+    return re.sub(r"\\b$", lambda _: AFTER, pattern).replace(r"\s", SPACE)
+
+
+STRIP = r"(?i)^(?:[?!,. \t\n\x0B\f\r]+|(?:" + "|".join(map(plain, FILLERS)) + r")[,!.? \t\n\x0B\f\r]+)+"
+ABOUT_RE = r"(?i)^(?:" + "|".join(map(plain, ABOUT)) + rf"){SPACE}+([^\n]+?){SPACE}*\z"
 
 
 def any_mark(marks: tuple[str, ...]) -> str:
-    return "(?i)(?:" + "|".join(marks) + ")"
+    return "(?i)(?:" + "|".join(map(plain, marks)) + ")"
 
 
 KNOWLEDGE_RE = any_mark(KNOWLEDGE)
 PRICE_RE = any_mark(PRICE)
-QUESTION_RE = r"(?i)^(?:please\s+)?(?:also\s+)?(?:and\s+)?(?:" + "|".join(QUESTION) + r")\b"
+QUESTION_RE = plain(r"(?i)^(?:please\s+)?(?:also\s+)?(?:and\s+)?(?:" + "|".join(QUESTION) + r")\b")
 
 
 def without_fillers(message: Column) -> Column:
     """A message without the greetings and small talk that stand before its point, however many. A message of nothing
     else keeps its last filler if no sign follows it."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(filled(message), r"^\s+|\s+$", ""), STRIP, ""), r"\s+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(filled(message), rf"^{SPACE}+|{SPACE}+\z", ""), STRIP, ""), rf"{SPACE}+\z", "")
 
 
 def asks_for_knowledge(message: Column, marks: tuple[str, ...] = KNOWLEDGE, point: Column | None = None) -> Column:

@@ -27,11 +27,16 @@ def _q(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-_P = rf"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '{_q(ms.STRIP)}', ''), '\s+$', '')"
-_K = f"(p <> '' AND (regexp_matches(p, '{_q(ms.ABOUT_RE)}') OR regexp_matches(p, '{_q(ms.KNOWLEDGE_RE)}')))"
+# (?i) of the query is of A-Z alone, the SQL engine's of all scripts: tests read `low`, and a prefix is cut by its length.
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_S = ms.SPACE
+_T = rf"regexp_replace(coalesce(text, ''), '^{_S}+|{_S}+\z', '', 'g')"
+_P = rf"regexp_replace(substring({_T}, length(regexp_extract({_LOW.format(_T)}, '{_q(ms.STRIP.removeprefix('(?i)'))}')) + 1), '{_S}+\z', '')"
+_has = lambda pattern: f"regexp_matches(low, '{_q(pattern.removeprefix('(?i)'))}')"
+_K = f"(p <> '' AND ({_has(ms.ABOUT_RE)} OR {_has(ms.KNOWLEDGE_RE)}))"
 _TRIM = r"regexp_replace({}, '^[ ?.!,;:]+|[ ?.!,;:]+$', '', 'g')"
 _TOPIC = _TRIM.format(r"regexp_replace(" + _TRIM.format(rf"regexp_replace(regexp_extract(p, '{_q(ms.ABOUT_RE)}', 1), '\s+', ' ', 'g')") + r", '(?i)\s+(?:" + "|".join(ms.TOPIC_ENDS) + r")\s*$', '')")
 ORACLE_SQL = {
-    "message_intents": f"SELECT conv_id, turn, sha256(p) AS point_sha256, {_K} AS knowledge, regexp_matches(p, '{_q(ms.PRICE_RE)}') AS price, {_K} OR regexp_matches(p, '{_q(ms.QUESTION_RE)}') AS informational FROM (SELECT *, {_P} AS p FROM conversations)",
+    "message_intents": f"SELECT conv_id, turn, sha256(p) AS point_sha256, {_K} AS knowledge, {_has(ms.PRICE_RE)} AS price, {_K} OR {_has(ms.QUESTION_RE)} AS informational FROM (SELECT *, {_LOW.format('p')} AS low FROM (SELECT *, {_P} AS p FROM conversations))",
     "canonical_questions": f"SELECT item_id, CASE WHEN p = '' THEN trim(coalesce(text, '')) WHEN length(topic) >= 2 THEN 'What is ' || topic || '?' ELSE p END AS question FROM (SELECT *, {_TOPIC} AS topic FROM (SELECT *, {_P} AS p FROM benchmark))",
 }
