@@ -62,7 +62,7 @@ def top_competing(spark, root):
 
 def _evidence(spark, root, hits):
     """Hits whose text holds the question's whole text, both in small letters with single spaces."""
-    texts = rq.corpus(spark, root).select("chunk_id", tx.match_text(F.col("text")).alias("t"))
+    texts = retrieval.rows_of(hits, rq.corpus(spark, root)).select("chunk_id", tx.match_text(F.col("text")).alias("t"))
     asked = rq.questions(spark, root).select("query_id", tx.match_text(F.col("query")).alias("q"))
     return hits.join(texts, "chunk_id").join(asked, "query_id").where(F.contains("t", "q")).select("query_id", "chunk_id")
 

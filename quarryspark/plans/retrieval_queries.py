@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,19 +26,31 @@ def vectors(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
 
 
-def _postings(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Postings and sizes of the corpus, on disk: all queries of a session over the same tables share them, and a lost
-    block is made again."""
+#: Lists that the queries of a session share, by application, tables and name.
+_MADE: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _shared(spark: SparkSession, root: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A small table on disk: it is made once, and a lost block is made again."""
+    key = spark.sparkContext.applicationId, root, name
+    if key not in _MADE:
+        _MADE[key] = make()
+    found = _MADE[key]
+    return found if found.is_cached and found.storageLevel != StorageLevel.NONE else found.persist(StorageLevel.DISK_ONLY)
+
+
+def _counts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Frequencies and sizes of the corpus."""
     asked, texts = questions(spark, root), corpus(spark, root)
-    return retrieval.postings(asked, texts).persist(StorageLevel.DISK_ONLY), retrieval.sizes(texts).persist(StorageLevel.DISK_ONLY)
+    return _shared(spark, root, "frequencies", lambda: retrieval.frequencies(asked, texts)), _shared(spark, root, "sizes", lambda: retrieval.sizes(texts))
 
 
 def keyword(spark, root):
-    return retrieval.keyword_topk(questions(spark, root), corpus(spark, root), given=_postings(spark, root)[0]).persist(StorageLevel.DISK_ONLY)
+    return _shared(spark, root, "keyword", lambda: retrieval.keyword_topk(questions(spark, root), corpus(spark, root)))
 
 
 def bm25(spark, root):
-    return retrieval.bm25_topk(questions(spark, root), corpus(spark, root), given=_postings(spark, root)).persist(StorageLevel.DISK_ONLY)
+    return _shared(spark, root, "bm25", lambda: retrieval.bm25_topk(questions(spark, root), corpus(spark, root), given=_counts(spark, root)))
 
 
 def cosine(spark, root):
