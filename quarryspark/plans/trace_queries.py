@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import traces
-from ..sources import scratch
 from ..sources.tables import dealt_out, table
 
 
 def made(spark, root) -> DataFrame:
     """(trace_id, trace): one trace for each event."""
-    k, v, i = F.get_json_object("props", "$.k").cast("int"), F.col("value"), F.col("event_id")
+    k, v, i = F.col("k"), F.col("value"), F.col("event_id")
     hits = lambda n, score: F.transform(F.filter(F.array(*map(F.lit, range(1, 4))), lambda x: x <= n), lambda x: F.struct(F.concat(F.lit("c"), (i % 50 + x).cast("string")).alias("chunk_id"), F.concat(F.lit("d"), x.cast("string")).alias("document_id"), x.alias("rank"), (1 / x).alias(score), F.array(F.lit("a"), x.cast("string")).alias("section_path")))
     chunks = F.transform(F.filter(F.array(F.lit(1), F.lit(2)), lambda x: x <= k % 3), lambda x: F.struct(F.concat(F.lit("c"), (i % 50 + x).cast("string")).alias("chunk_id"), (x + 1).alias("position"), F.lit("p. 1").alias("section"), F.lit("text").alias("text"), (1 / x).alias("score")))
     trace = F.struct(
@@ -27,20 +26,14 @@ def made(spark, root) -> DataFrame:
         F.struct(F.when(k % 12 == 0, "ticket").alias("tool_name"), F.when(k % 12 == 0, k % 24 == 0).alias("success"), v.alias("latency_ms")).alias("tool_execution"),
         F.struct(F.when(k % 14 != 0, "Answer").alias("final_response")).alias("response"), F.struct(v.alias("total_ms"), (v / 2).alias("router_ms")).alias("latency"),
     )
-    return dealt_out(table(spark, root, "events")).select(F.concat(F.lit("t"), i.cast("string")).alias("trace_id"), trace.alias("trace"))
-
-
-#: Where a session's traces are, by application and tables: they are written once, as JSON lines.
-_WRITTEN: dict[tuple[str, str], str] = {}
+    # the key is a column of its own, so it is read once a row
+    rows = dealt_out(table(spark, root, "events")).select("event_id", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return rows.select(F.concat(F.lit("t"), i.cast("string")).alias("trace_id"), trace.alias("trace"))
 
 
 def _parsed(spark, root):
-    key = spark.sparkContext.applicationId, root
-    if key not in _WRITTEN:
-        at = scratch.folder(spark, "traces")
-        made(spark, root).select("trace_id", "trace.*").write.json(at)
-        _WRITTEN[key] = at
-    return traces.stored(spark, _WRITTEN[key])
+    """Traces are made as JSON and parsed again in the same task: as files they are some hundred times the events."""
+    return traces.parsed(made(spark, root).select("trace_id", F.to_json("trace").alias("trace"))).select("trace_id", "t")
 
 
 def trace_turns(spark, root):
