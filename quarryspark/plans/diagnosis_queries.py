@@ -81,12 +81,16 @@ def targeted_diagnosis(spark, root):
 
 
 def _ranks(spark, root):
-    """Ranks of the own document's chunks but the query's: as chunks those with an odd id, as documents all."""
-    q = _expected(spark, root)[0]
-    hits = _documents(spark, root, 100).where(F.col("document_id") == F.floor(F.col("query_id") / 10))
-    best = hits.groupBy("query_id").agg(F.min(F.when(F.col("chunk_id") % 2 == 1, F.col("rank"))).alias("c"), F.min(F.when(F.col("chunk_id") % 2 == 1, F.struct("rank", "score"))).alias("cs"), F.min("rank").alias("d"))
-    tenth = _hits(spark, root, 10).where("rank = 10").select("query_id", F.col("score").alias("tenth"))
-    return q.join(best, "query_id", "left").join(tenth, "query_id", "left")
+    """Ranks of the own document's chunks but the query's: as chunks those with an odd id, as documents all; the tenth hit's
+    score, and the largest size of a sibling with an even id among the first ten. The vectors are compared once."""
+    hits = _documents(spark, root, 100)
+    own = F.col("document_id") == F.floor(F.col("query_id") / 10)
+    odd, rank = own & (F.col("chunk_id") % 2 == 1), F.col("rank")
+    found = hits.groupBy("query_id").agg(
+        F.min(F.when(odd, rank)).alias("c"), F.min(F.when(odd, F.struct("rank", "score"))).alias("cs"), F.min(F.when(own, rank)).alias("d"),
+        F.max(F.when(rank == 10, F.col("score"))).alias("tenth"), F.max(F.when(own & (rank <= 10) & (F.col("chunk_id") % 2 == 0), F.col("chunk_id") % 100)).alias("largest"),
+    )
+    return _expected(spark, root)[0].join(found, "query_id", "left")
 
 
 def vector_causes(spark, root):
@@ -105,9 +109,7 @@ def light_causes(spark, root):
 def unified_causes(spark, root):
     """A vector's size is its number's last two digits; the siblings are the other vectors of its document."""
     i = F.col("query_id")
-    first = _documents(spark, root, 10)
-    sibling = first.where((F.col("document_id") == F.floor(i / 10)) & (F.col("chunk_id") % 2 == 0)).groupBy("query_id").agg(F.max(F.col("chunk_id") % 100).alias("largest"))
-    rows = _ranks(spark, root).join(sibling, "query_id", "left")
+    rows = _ranks(spark, root)
     cause = diagnosis.unified_cause(i % 7 != 0, F.when(i % 3 == 0, 5).when(i % 11 == 0, 0).otherwise(1), F.col("c"), F.col("d"), F.col("largest"), i % 4 == 0, i % 9 == 0)
     return rows.select("query_id", cause.alias("cause"))
 
