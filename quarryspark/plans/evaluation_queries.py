@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import evaluation, history, retrieval
+from ..sources import scratch
 from ..sources.tables import table
 from . import retrieval_queries as rq
 
@@ -18,6 +19,11 @@ def _hits(spark, root, k=20, dims=None):
     return retrieval.first(found, k)
 
 
+def _stored_hits(spark, root, k=20, dims=None):
+    """The hits as a table, for what meets them with their own expected: the vectors are compared once."""
+    return scratch.written(_hits(spark, root, k, dims), "hits")
+
+
 def _expected(spark, root):
     v = table(spark, root, "embeddings").select("vec_id", "label")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
@@ -32,7 +38,7 @@ def _relevant(spark, root, hits):
 
 
 def _first(spark, root, dims=None):
-    hits = _hits(spark, root, 20, dims)
+    hits = _stored_hits(spark, root, 20, dims)
     return evaluation.first_ranks(hits, _relevant(spark, root, hits), _expected(spark, root)[0])
 
 
@@ -51,12 +57,12 @@ def compare_versions(spark, root):
 
 
 def rank_details(spark, root):
-    hits = _hits(spark, root)
+    hits = _stored_hits(spark, root)
     return evaluation.rank_details(hits, _relevant(spark, root, hits))
 
 
 def top_competing(spark, root):
-    hits = _hits(spark, root)
+    hits = _stored_hits(spark, root)
     return evaluation.competing(hits, _relevant(spark, root, hits)).select("query_id", "chunk_id", "score", "rank", "place")
 
 

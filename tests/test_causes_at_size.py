@@ -5,6 +5,7 @@ import pytest
 
 from quarryspark.operators import retrieval
 from quarryspark.plans import diagnosis_queries as dq
+from quarryspark.plans import evaluation_queries as eq
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -20,3 +21,11 @@ def test_vectors_are_compared_once(spark, monkeypatch, name):
     held.execute(f"create view embeddings as select * from '{ROOT}/embeddings.parquet'")
     want = held.execute(dq.ORACLE_SQL[name]).fetchall()
     assert [(r[0], *r[1:]) for r in found] == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("name", ["eval_top_competing", "eval_rank_details", "eval_recall_mrr"])
+def test_hits_that_meet_their_own_expected_are_made_once(spark, name):
+    """Both sides of the join compared all vectors; now neither does, as the hits are a table."""
+    found = eq.QUERIES[name](spark, ROOT)
+    rows = found.collect()
+    assert rows and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
