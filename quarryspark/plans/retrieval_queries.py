@@ -39,10 +39,14 @@ def _shared(spark: SparkSession, root: str, name: str, make: Callable[[], DataFr
     return found if found.is_cached and found.storageLevel != StorageLevel.NONE else found.persist(StorageLevel.DISK_ONLY)
 
 
-def _counts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Frequencies and sizes of the corpus."""
-    asked, texts = questions(spark, root), corpus(spark, root)
-    return _shared(spark, root, "frequencies", lambda: retrieval.frequencies(asked, texts)), _shared(spark, root, "sizes", lambda: retrieval.sizes(texts))
+def _counts(spark: SparkSession, root: str) -> DataFrame:
+    return _shared(spark, root, "counts", lambda: retrieval.term_counts(questions(spark, root), corpus(spark, root)))
+
+
+def both(spark, root):
+    """The list by BM25 and that by keywords, from one scan of the corpus."""
+    found = _shared(spark, root, "lists", lambda: retrieval.lists_topk(questions(spark, root), corpus(spark, root), given=_counts(spark, root)))
+    return tuple(found.where(F.col("list") == n).drop("list") for n in (0, 1))
 
 
 def keyword(spark, root):
