@@ -74,7 +74,7 @@ def cosine_filtered_after(spark, root):
 
 
 def pool(spark, root):
-    return retrieval.merged(bm25(spark, root), keyword(spark, root))
+    return retrieval.merged(*both(spark, root))
 
 
 def capped(spark, root):
@@ -121,7 +121,7 @@ def multi_query(spark, root):
 
 
 def fused(name):
-    return lambda spark, root: fusion.fuse(name, bm25(spark, root), keyword(spark, root)).select("query_id", "chunk_id", "rank")
+    return lambda spark, root: fusion.fuse(name, *both(spark, root)).select("query_id", "chunk_id", "rank")
 
 
 QUERIES = {

@@ -44,7 +44,7 @@ def needle_resolution(spark, root):
 
 def compare_lists(spark, root):
     """The first evidence in both lists and in their merge, and where it got lost."""
-    asked, v, k = rq.questions(spark, root), rq.bm25(spark, root), rq.keyword(spark, root)
+    asked, (v, k) = rq.questions(spark, root), rq.both(spark, root)
     rank = lambda hits, name: evaluation.first_ranks(hits, eq._evidence(spark, root, hits), asked).withColumnRenamed("rank", name)
     rows = rank(v, "vector_rank").join(rank(k, "keyword_rank"), "query_id").join(rank(fusion.current_merge(v, k), "merged_rank"), "query_id")
     return rows.withColumn("locus", evidence.locus(F.col("vector_rank"), F.col("keyword_rank"), F.col("merged_rank")))
