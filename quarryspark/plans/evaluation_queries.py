@@ -74,7 +74,7 @@ def _evidence(spark, root, hits):
 
 
 def rerank_delta(spark, root):
-    raw, new = rq.bm25(spark, root), rq.reranked(spark, root)
+    raw, new = rq.both(spark, root)[0], rq.reranked(spark, root)
     asked = rq.questions(spark, root)
     return evaluation.rank_change(evaluation.first_ranks(raw, _evidence(spark, root, raw), asked), evaluation.first_ranks(new, _evidence(spark, root, new), asked))
 

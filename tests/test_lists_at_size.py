@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from quarryspark.operators import retrieval
+from quarryspark.plans import evaluation_queries as eq
 from quarryspark.plans import retrieval_queries as rq
 
 ROOT = "/root/testdata/sf0.001"
@@ -48,7 +49,7 @@ def test_both_lists_of_one_scan_are_those_of_two(spark, monkeypatch, block):
     assert {(r["list"], r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in found.collect()} == want and len(want) > 8
 
 
-@pytest.mark.parametrize("module, name", [(rq, "fusion_rank_normalized"), (rq, "multi_query_union_max")])
+@pytest.mark.parametrize("module, name", [(rq, "fusion_rank_normalized"), (eq, "eval_rerank_delta"), (rq, "multi_query_union_max")])
 def test_queries_scan_once_for_their_lists_and_agree_with_their_sql(spark, monkeypatch, module, name):
     monkeypatch.setattr(rq, "_MADE", {})
     made, real = [], retrieval._by_terms
