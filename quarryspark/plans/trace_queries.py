@@ -27,7 +27,7 @@ def made(spark, root) -> DataFrame:
         F.struct(F.when(k % 14 != 0, "Answer").alias("final_response")).alias("response"), F.struct(v.alias("total_ms"), (v / 2).alias("router_ms")).alias("latency"),
     )
     # the key is a column of its own, so it is read once a row
-    rows = dealt_out(table(spark, root, "events")).select("event_id", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    rows = dealt_out(table(spark, root, "events"), "event_id").select("event_id", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
     return rows.select(F.concat(F.lit("t"), i.cast("string")).alias("trace_id"), trace.alias("trace"))
 
 

@@ -20,8 +20,9 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return dealt_out(rows) if name in TEXTS else rows
 
 
-def dealt_out(rows: DataFrame) -> DataFrame:
+def dealt_out(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows of fewer files than the cluster has cores, one partition a core: a small file is one row group and would be
-    one task. A table of more files stays as it is, so large tables are never shuffled for it."""
+    one task. A table of more files stays as it is, so large tables are never shuffled for it. Without keys the rows are
+    sorted in their task before they are dealt in turn; by keys that differ from row to row nothing is sorted or held."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores, *keys) if len(rows.inputFiles()) < cores else rows
